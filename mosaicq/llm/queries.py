@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaicq.llm import mixing, simhash, token_files
+from mosaicq.llm import decontaminate, mixing, quality, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_output": token_files.op1,
+        "op2_decontamination": decontaminate.op2,
         "op3_simhash": simhash.op3,
+        "op5_quality": quality.op5,
         "op8_mixing": mixing.op8,
     }
 

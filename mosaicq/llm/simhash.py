@@ -168,6 +168,23 @@ def _attach(prints: DataFrame, named: DataFrame) -> DataFrame:
     return prints.join(common, "fp").unionByName(prints.join(rare, "fp")).select("doc_id", "fp", "component_id")
 
 
+def first_of_group(docs: DataFrame) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; all columns kept.
+
+    Of rows that share a kept doc_id one stays, that of the least text. Rows without a doc_id stay, as nothing names them.
+    """
+    named = cut(near_duplicates(docs))
+    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("m_gone")).distinct()
+    key = F.col("doc_id").cast("long")
+    left = docs.join(gone, key == F.col("m_gone"), "left_anti")
+    twice = named.groupBy(F.col("doc_id").alias("m_twice")).agg(F.count("*").alias("n")).filter("n > 1 and m_twice is not null").select("m_twice")
+    if twice.isEmpty():
+        return left
+    row = F.struct(F.coalesce(F.col("text"), F.lit("")), F.struct(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
+    own = left.join(twice, key == F.col("m_twice"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), row).alias("m_row"))
+    return left.join(twice, key == F.col("m_twice"), "left_anti").unionByName(own.select("m_row.*"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
