@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaicq.llm import ann, decontaminate, lm, mixing, quality, simhash, token_files
+from mosaicq.llm import ann, decontaminate, lm, mixing, quality, repeats, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3,
         "op5_quality": quality.op5,
         "op6_lm_score": lm.op6,
+        "op7_repeats": repeats.op7,
         "op8_mixing": mixing.op8,
         "op9_neighbours": ann.op9,
     }
