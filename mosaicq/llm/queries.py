@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaicq.llm import ann, decontaminate, lm, mixing, quality, repeats, simhash, token_files
+from mosaicq.llm import ann, decontaminate, lm, mixing, paragraphs, quality, repeats, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_repeats": repeats.op7,
         "op8_mixing": mixing.op8,
         "op9_neighbours": ann.op9,
+        "op10_paragraphs": paragraphs.op10,
     }
 
 
