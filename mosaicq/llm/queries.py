@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaicq.llm import ann, decontaminate, lm, mixing, paragraphs, quality, repeats, simhash, token_files
+from mosaicq.llm import ann, decontaminate, lines, lm, mixing, paragraphs, quality, repeats, simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_output": token_files.op1,
         "op2_decontamination": decontaminate.op2,
         "op3_simhash": simhash.op3,
+        "op4_line_dedup": lines.op4,
         "op5_quality": quality.op5,
         "op6_lm_score": lm.op6,
         "op7_repeats": repeats.op7,
