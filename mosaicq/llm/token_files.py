@@ -15,6 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,19 @@ SHARD_BYTES = 32 << 20
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Words a worker remembers with their ids; beyond it starts anew, which changes no result.
 MEMORY = 400_000
-#: How byte-level BPE parts a text, fixed by the vocabulary.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with other characters go through the tokenizer in one piece.
-PLAIN = re.compile("[^\t\n\x20-\x7e\xa1-\xac\xae-ȳ]")
+#: How byte-level BPE parts a text, fixed by the vocabulary, with the letters and numbers of PLAIN texts spelt out.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ȳ", "0-9²³¹¼½¾"
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+").findall
+#: Texts with other characters than these go through the tokenizer in one piece.
+PLAIN = re.compile("[^\t\n\x20-\x7e\xa1-\xac\xae-ȳ]").search
+
+
+class _Places(dict):
+    """Gives each new part the next place."""
+
+    def __missing__(self, part: str) -> int:
+        self[part] = place = len(self)
+        return place
 
 
 class Encoder:
@@ -49,20 +59,17 @@ class Encoder:
         pre = json.loads(definition).get("pre_tokenizer") or {}
         self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not json.loads(definition).get("normalizer")
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
-        if self.by_part:
-            import regex
-
-            self.parts = regex.compile(PARTS).findall
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Places()
         self.flat, self.ends = np.empty(1 << 16, np.int64), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        own = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        ids = np.fromiter((i for x in own for i in x), np.int64)
-        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, np.int64)
+        own = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
+        ends = self.ends[-1] + np.cumsum(own)
         if ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), len(ids)), np.int64)))
         self.flat[self.ends[-1] : ends[-1]] = ids
@@ -72,17 +79,16 @@ class Encoder:
         """For each text its ids and the end id."""
         if len(self.known) > MEMORY:
             self._forget()
-        known, parted, whole = self.known, [], {}
+        place, parted, whole = self.known.__getitem__, [], {}
         for i, text in enumerate(texts):
-            if not self.by_part or PLAIN.search(text):
+            if not self.by_part or PLAIN(text):
                 whole[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
                 parted.append(None)
                 continue
-            parts = self.parts(text)
-            parted.append(np.fromiter((known.setdefault(p, len(known)) for p in parts), np.int64, len(parts)))
-        if len(known) >= len(self.ends):
-            words = list(known)
-            self._learn(words[len(self.ends) - 1 :])
+            parts = PARTS(text)
+            parted.append(np.fromiter(map(place, parts), np.int64, len(parts)))
+        if len(self.known) >= len(self.ends):
+            self._learn(list(islice(self.known, len(self.ends) - 1, None)))
         starts = self.ends
         for i, at in enumerate(parted):
             if at is None:
