@@ -129,18 +129,19 @@ def _(spark, sf):
 
 def _mirrored_sql(radius: int) -> str:
     """ch with every tap of a square stencil; what lies outside is mirrored, the edge repeated."""
-    return f"""{LONG}, plane AS (SELECT ch.* FROM ch WHERE y < 18),
+    return f"""{LONG}, plane AS (SELECT * EXCLUDE (m) FROM (SELECT ch.*, count(*) OVER (PARTITION BY img, c) AS m FROM ch WHERE y < 16) WHERE m = 512),
 off AS (SELECT dx, dy FROM range(-{radius}, {radius + 1}) AS a(dx), range(-{radius}, {radius + 1}) AS b(dy)),
 taps AS (SELECT f.img, f.c, f.i, f.x, f.y, f.v, dx, dy, CASE WHEN f.x + dx < 0 THEN -1 - (f.x + dx) WHEN f.x + dx > 31 THEN 63 - (f.x + dx) ELSE f.x + dx END AS tx,
-  CASE WHEN f.y + dy < 0 THEN -1 - (f.y + dy) WHEN f.y + dy > 17 THEN 35 - (f.y + dy) ELSE f.y + dy END AS ty FROM plane f, off)"""
+  CASE WHEN f.y + dy < 0 THEN -1 - (f.y + dy) WHEN f.y + dy > 15 THEN 31 - (f.y + dy) ELSE f.y + dy END AS ty FROM plane f, off)"""
 
 
-ROWS = 18
+ROWS = 16
 
 
 def whole_rows(px):
-    """The first ROWS rows of each image, which all images here have in full."""
-    return px.filter(F.col("y") < ROWS)
+    """The first ROWS rows of each image that has so many in full."""
+    top = px.filter(F.col("y") < ROWS).withColumn("m", F.count("*").over(W.partitionBy("img", "c")))
+    return top.filter(F.col("m") == ROWS * planes.WIDTH).drop("m")
 
 
 def stencil(px, radius: int):
