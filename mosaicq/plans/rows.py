@@ -155,15 +155,18 @@ def _(spark, sf):
     return ycc.select(*KEY, "c0", "c1", "c2", exact.alias("exact"))
 
 
-def _rct_sql(kind: int) -> str:
+def _rct_parts(kind: int) -> tuple[str, str, str]:
     p, step = divmod(kind, 7)
     c = ["r", "g", "b"]
     a, b, d = c[p % 3], c[(p + 1 + p // 3) % 3], c[(p + 2 - p // 3) % 3]
     if step == 6:
         t = f"({d} + (({a} - {d}) >> 1))"
-        out = (f"{t} + (({b} - {t}) >> 1)", f"{a} - {d}", f"{b} - {t}")
-    else:
-        out = (a, {0: b, 1: f"{b} - {a}", 2: f"{b} - (({a} + {d}) >> 1)"}[step // 2], f"{d} - {a}" if step % 2 else d)
+        return f"{t} + (({b} - {t}) >> 1)", f"{a} - {d}", f"{b} - {t}"
+    return a, {0: b, 1: f"{b} - {a}", 2: f"{b} - (({a} + {d}) >> 1)"}[step // 2], f"{d} - {a}" if step % 2 else d
+
+
+def _rct_sql(kind: int) -> str:
+    out = _rct_parts(kind)
     return f"SELECT img, {kind} AS kind, sum(abs({out[0]})) AS s0, sum(abs({out[1]})) AS s1, sum(abs({out[2]})) AS s2 FROM rgb GROUP BY img"
 
 
