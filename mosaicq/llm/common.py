@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,23 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 16 << 20
 
 
+class Places(dict):
+    """Gives each new key the next place."""
+
+    def __missing__(self, key) -> int:
+        self[key] = place = len(self)
+        return place
+
+
+def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `size` bytes of text."""
+    if batch.num_rows:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = np.unique(np.concatenate(([0], np.searchsorted(ends, np.arange(size, ends[-1] + 1, size), side="right"), [batch.num_rows])))
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            yield batch.slice(a, b - a)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,11 +61,38 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def chunk_count(df: DataFrame, column: str = "text", size: int = CHUNK_BYTES) -> int:
-    """How many chunks of about `size` bytes the column fills; grows with the input, never with one key."""
-    total = df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    return df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
+
+
+def chunk_count(total: int, size: int = CHUNK_BYTES) -> int:
+    """How many chunks of about `size` bytes hold all; grows with the input, never with one key."""
     return max(4, -(-total // size))
 
 
-def chunk_of(column: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+def chunk_of(n: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+
+
+def pack_chunks(df: DataFrame) -> DataFrame:
+    """(chunk, rows): df's rows, which have a chunk each, as compressed Arrow streams, one for each batch and chunk."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        for b in batches:
+            chunk = b["chunk"].to_numpy(zero_copy_only=False)
+            order = np.argsort(chunk, kind="stable")
+            found, first = np.unique(chunk[order], return_index=True)
+            rest = b.drop_columns(["chunk"])
+            for at, part in zip(found.tolist(), np.split(order, first[1:]), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema, options=options) as out:
+                    out.write_batch(rest.take(pa.array(part)))
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+    return df.mapInArrow(pack, "chunk int, rows binary")
+
+
+def unpack_chunk(group: pa.Table) -> pa.Table:
+    """A chunk's rows, in no certain order."""
+    return pa.concat_tables([pa.ipc.open_stream(raw.as_buffer()).read_all() for raw in group["rows"]]).combine_chunks()

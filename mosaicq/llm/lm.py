@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaicq.llm.common import chunk_count, cut, table, texts
+from mosaicq.llm.common import Places, chunk_count, chunk_of, cut, pack_chunks, table, text_bytes, texts, unpack_chunk
 from mosaicq.llm.packed import pack_keys, pack_values, split, unpack_keys, unpack_values
 
 ORDER = 3
 #: How many observations the shorter context's estimate is worth, by order.
 MASS = {2: 60.0, 3: 1.0}
+#: Bytes of text whose n-grams a Python worker holds at a time.
+CHUNK = 10 << 20
+#: Bits of an n-gram's key beyond those that count the corpus's bytes: an unseen n-gram is taken for a seen one less than once in a million.
+SPARE_BITS = 17
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -30,14 +34,15 @@ _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 class Tokens:
     """The tokens of some texts, one after another, as 64-bit keys, and their n-grams."""
 
-    def __init__(self, texts: list[str], order: int):
+    def __init__(self, texts: list[str], order: int, bits: int = 64):
         from xxhash import xxh64_intdigest
 
-        known: dict[bytes, int] = {}
+        known = Places()
+        place = known.__getitem__
         parts, lengths = [], np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = text.encode().lower().split()
-            parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+            parts.append(np.fromiter(map(place, words), np.int64, len(words)))
             lengths[i] = len(words) + 1
         keys = np.empty(len(known) + 1, np.uint64)
         keys[:-1] = np.fromiter((xxh64_intdigest(w, 1) for w in known), np.uint64, len(known))
@@ -48,22 +53,26 @@ class Tokens:
         self.starts = self.ends - lengths
         self.document = np.repeat(np.arange(len(texts)), lengths)
         own = keys[ids]
-        place = np.arange(len(own)) - self.starts[self.document] if len(own) else np.empty(0, np.int64)
+        within = np.arange(len(own)) - self.starts[self.document] if len(own) else np.empty(0, np.int64)
         #: For each order the distinct n-grams' keys, sorted, and which of them ends at each token.
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(1, order + 1):
             total = np.zeros(len(own), np.uint64)
             for back in range(n - 1, -1, -1):
                 before = np.full(len(own), _START)
-                before[place >= back] = own[np.flatnonzero(place >= back) - back]
+                before[within >= back] = own[np.flatnonzero(within >= back) - back]
                 total = (total ^ (total >> np.uint64(31))) * _BASE + before
             total = (total ^ (total >> np.uint64(29))) * _MIX
-            self.grams.append(np.unique(total ^ (total >> np.uint64(32)), return_inverse=True))
+            total ^= total >> np.uint64(32)
+            if n > 1:  # words keep whole keys
+                total &= np.uint64((1 << 64) - (1 << (64 - bits)))
+            self.grams.append(np.unique(total, return_inverse=True))
 
 
-def _counts(group: pa.Table, order: int, buckets: int) -> pa.Table:
+def _counts(group: pa.Table, order: int, buckets: int, bits: int) -> pa.Table:
     """A chunk's rows to the buckets: its n-grams and their training counts."""
-    t = Tokens(group["text"].to_pylist(), order)
+    chunk, group = group["chunk"][0].as_py(), unpack_chunk(group)
+    t = Tokens(group["text"].to_pylist(), order, bits)
     train = np.asarray(group["train"].to_pylist(), bool)[t.document]
     payload: list[list[bytes]] = [[] for _ in range(buckets)]
     for keys, at in t.grams:
@@ -71,7 +80,6 @@ def _counts(group: pa.Table, order: int, buckets: int) -> pa.Table:
         edges = split(keys, buckets)
         for b in range(buckets):
             payload[b] += [pack_keys(keys[edges[b] : edges[b + 1]]), pack_values(n[edges[b] : edges[b + 1]])]
-    chunk = group["chunk"][0].as_py()
     return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "chunk": pa.array([chunk] * buckets, pa.int32()), "sent": pa.array(payload, pa.list_(pa.binary()))})
 
 
@@ -145,9 +153,10 @@ def score(docs: DataFrame, order: int = ORDER, mass: dict[int, float] | None = N
     mass = mass or MASS
     left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held
     own = texts(docs).select("doc_id", "text", F.coalesce(~left, F.lit(True)).alias("train"))
-    n = chunk_count(own)
-    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    sent = own.groupBy("chunk").applyInArrow(lambda g: _counts(g, order, n), "bucket int, chunk int, sent array<binary>")
+    total = text_bytes(own)
+    n, bits = chunk_count(total, CHUNK), min(64, -(-(total.bit_length() + SPARE_BITS) // 8) * 8)
+    chunks = pack_chunks(own.withColumn("chunk", chunk_of(n, "doc_id", "text")))
+    sent = chunks.groupBy("chunk").applyInArrow(lambda g: _counts(g, order, n, bits), "bucket int, chunk int, sent array<binary>")
     answers = cut(sent.groupBy("bucket").applyInArrow(lambda g: _totals(g, order), "chunk int, bucket int, totals array<binary>, words long, tokens long"))
     words, tokens = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     n_docs = own.filter("train").count()
@@ -156,7 +165,8 @@ def score(docs: DataFrame, order: int = ORDER, mass: dict[int, float] | None = N
     def run(group: pa.Table, totals: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.table([pa.array([], k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        t = Tokens(group["text"].to_pylist(), order)
+        group = unpack_chunk(group)
+        t = Tokens(group["text"].to_pylist(), order, bits)
         parts = totals.sort_by([("bucket", "ascending")])["totals"].to_pylist()
         counts = [np.concatenate([unpack_values(p[k]) for p in parts]) for k in range(order)]
         model = Automaton(t, counts, tokens, words, n_docs, mass)
@@ -167,7 +177,7 @@ def score(docs: DataFrame, order: int = ORDER, mass: dict[int, float] | None = N
         ], names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mosaicq.llm.common import chunk_count, cut, shared_dir, table, texts
+from mosaicq.llm.common import Places, chunk_count, cut, shared_dir, table, text_bytes, texts
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
@@ -39,14 +39,6 @@ PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\
 PLAIN = re.compile("[^\t\n\x20-\x7e\xa1-\xac\xae-ȳ]").search
 
 
-class _Places(dict):
-    """Gives each new part the next place."""
-
-    def __missing__(self, part: str) -> int:
-        self[part] = place = len(self)
-        return place
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library; with byte-level BPE each distinct part is encoded once."""
 
@@ -62,7 +54,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Places()
+        self.known = Places()
         self.flat, self.ends = np.empty(1 << 16, np.int64), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
@@ -194,7 +186,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_i
     folder = f"{_uri(folder or shared_dir(spark)).rstrip('/')}/tokens-{uuid.uuid4().hex[:12]}"
     rows = texts(docs)
     tie = F.xxhash64("text")
-    ranged = rows.repartitionByRange(chunk_count(rows, size=SHARD_BYTES), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
+    ranged = rows.repartitionByRange(chunk_count(text_bytes(rows), SHARD_BYTES), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie, "text")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, writer, tokens = TaskContext.get(), None, None, 0
