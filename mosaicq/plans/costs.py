@@ -155,7 +155,7 @@ def _(spark, sf):
     return cooccurrence(spark, sf)
 
 
-@query("join10_touching_colors", f"WITH {_ADJ}, both AS (SELECT img, a, b FROM co UNION ALL SELECT img, b, a FROM co) SELECT img, a AS color, count(*) AS touches FROM both GROUP BY img, a")
+@query("join10_touching_colors", f"WITH {_ADJ}, two AS (SELECT img, a, b FROM co UNION ALL SELECT img, b, a FROM co) SELECT img, a AS color, count(*) AS touches FROM two GROUP BY img, a")
 def _(spark, sf):
     co = cooccurrence(spark, sf)
     return co.select("img", F.explode(F.array("a", "b")).alias("color")).groupBy("img", "color").agg(F.count("*").alias("touches"))
