@@ -1,4 +1,4 @@
 """Imports every module of queries, so that the registry is full."""
 
-from mosaicq.plans import blocks, classify, costs, rows, windows  # noqa: F401
+from mosaicq.plans import blocks, classify, costs, metrics, rows, segments, windows  # noqa: F401
 from mosaicq.plans.catalog import ORACLES, QUERIES  # noqa: F401
