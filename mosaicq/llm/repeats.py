@@ -17,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaicq.llm.common import chunk_count, cut, table, texts
+from mosaicq.llm.common import Places, chunk_count, chunk_of, cut, pack_chunks, table, text_bytes, texts, unpack_chunk
 from mosaicq.llm.packed import pack_keys, pack_values, split, unpack_keys, unpack_values
 from mosaicq.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 20
 HOT = 1000
+#: Bytes of text that a Python worker holds at a time.
+CHUNK = 8 << 20
 #: Bytes hashed, and bytes of stretches sorted, in one go.
 HASH_STEP, SORT_STEP = 1 << 20, 1 << 20
+#: Stretches cut from a text in one go.
+PIECES = 100_000
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -63,6 +67,7 @@ class Chunk:
     """The distinct texts of some documents as one byte array, in the order of doc_id and text."""
 
     def __init__(self, group: pa.Table):
+        group = unpack_chunk(group)
         rows = sorted(zip(group["doc_id"].to_pylist(), group["text"].to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         self.copies: list[tuple[int | None, bytes]] = []  # of a text that a smaller doc_id has in this chunk
         first: dict[str, int | None] = {}
@@ -148,19 +153,23 @@ def _stretches(group: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     single = np.repeat(start[hot] - np.cumsum(n[hot]) + n[hot], n[hot]) + np.arange(n[hot].sum())  # each string by itself
     some = kind == 1
     start, doc, key, n = np.concatenate((start[some], single)), np.concatenate((doc[some], np.repeat(doc[hot], n[hot]))), key[some], np.concatenate((n[some], np.ones(len(single), np.int64)))
-    raw = c.data.tobytes()
-    pieces = [raw[s:e] for s, e in zip(start.tolist(), (start + n + LENGTH - 1).tolist(), strict=True)]
-    key = np.concatenate((key, np.fromiter((xxh64_intdigest(p, 3) for p in pieces[len(key) :]), np.uint64, len(single))))
-    known: dict[bytes, int] = {}
-    at = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int64, len(pieces))  # equal stretches once
+    raw, known = b"".join(c.raw), Places()
+    at = np.empty(len(start), np.int64)  # equal stretches once
+    for k in range(0, len(start), PIECES):
+        stop = start[k : k + PIECES] + n[k : k + PIECES] + LENGTH - 1
+        at[k : k + PIECES] = np.fromiter((known[raw[a:b]] for a, b in zip(start[k : k + PIECES].tolist(), stop.tolist(), strict=True)), np.int64, len(stop))
     least = np.full(len(known), np.iinfo(np.int64).max)
     np.minimum.at(least, at, c.rank[doc])
     of = np.zeros(len(known), np.int64)
     of[at] = np.arange(len(at))
-    order = np.argsort(key[of], kind="stable")
+    texts_, n_of = list(known), n[of]
+    alone = np.flatnonzero(of >= len(key))  # strings by themselves go by their own bytes
+    key_of = np.concatenate((key, np.zeros(len(single), np.uint64)))[of]
+    key_of[alone] = np.fromiter((xxh64_intdigest(texts_[i], 3) for i in alone.tolist()), np.uint64, len(alone))
+    order = np.argsort(key_of, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    texts_, n_, key_ = list(known), n[of][order], key[of][order]
+    n_, key_ = n_of[order], key_of[order]
     edges = split(key_, buckets)
     sent = []
     for a, b in zip(edges, edges[1:], strict=False):
@@ -180,7 +189,7 @@ def smaller_holders(pieces: list[bytes], n: np.ndarray, rank: np.ndarray) -> np.
     at = np.repeat(starts - first, n) + np.arange(n.sum())
     string[at] = np.arange(n.sum())
     owner = np.repeat(rank, n)
-    order = suffix_array(text)
+    order = suffix_array(text, string >= 0)
     order = order[string[order] >= 0]
     group = np.cumsum(common_prefixes(text, order, LENGTH) < LENGTH) - 1
     least = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
@@ -193,36 +202,34 @@ def smaller_holders(pieces: list[bytes], n: np.ndarray, rank: np.ndarray) -> np.
 def _sorted_bucket(group: pa.Table) -> pa.Table:
     """A bucket's answers: a bit for each string of each chunk's stretches."""
     chunks = group["chunk"].to_pylist()
-    keys, ns, ranks, pieces, sizes = [], [], [], [], []
+    keys, ns, ranks, ats, sizes, known = [], [], [], [], [], Places()
     for raw in group["sent"].to_pylist():
         key, n, rank, data = (_unpack(x, kind) for x, kind in zip(raw, (np.uint64, np.int32, np.int64, np.uint8), strict=True))
         length, data = n.astype(np.int64) + LENGTH - 1, data.tobytes()
         end = np.cumsum(length)
-        pieces += [data[a:b] for a, b in zip((end - length).tolist(), end.tolist(), strict=True)]
+        ats.append(np.fromiter((known[data[a:b]] for a, b in zip((end - length).tolist(), end.tolist(), strict=True)), np.int64, len(n)))
         keys.append(key), ns.append(n.astype(np.int64)), ranks.append(rank), sizes.append(len(n))
-    key, n, rank = np.concatenate(keys), np.concatenate(ns), np.concatenate(ranks)
-    known: dict[bytes, int] = {}
-    at = np.fromiter((known.setdefault(p, len(known)) for p in pieces), np.int64, len(pieces))
-    del pieces
+    key, n, rank, at = (np.concatenate(x) for x in (keys, ns, ranks, ats))
     texts_, m = list(known), len(known)
     least, of = np.full(m, np.iinfo(np.int64).max), np.zeros(m, np.int64)
     np.minimum.at(least, at, rank)
     of[at] = np.arange(len(at))
     order = np.argsort(key[of], kind="stable")
     length, own_key, own_n = n[of][order] + LENGTH - 1, key[of][order], n[of][order]
-    bits: list[np.ndarray] = [np.zeros(0, bool)] * m
+    held = np.zeros(own_n.sum(), bool)  # strings in the order of the sorted stretches
+    first = np.cumsum(own_n) - own_n
     a, step = 0, np.cumsum(length)
     while a < m:
         b = int(np.searchsorted(step, (step[a - 1] if a else 0) + SORT_STEP)) + 1
         b = int(np.searchsorted(own_key, own_key[min(b, m) - 1], side="right"))  # a key's stretches stay together
-        held = smaller_holders([texts_[i] for i in order[a:b].tolist()], own_n[a:b], least[order[a:b]])
-        for i, x in zip(order[a:b].tolist(), np.split(held, np.cumsum(own_n[a:b])[:-1]), strict=True):
-            bits[i] = x
+        held[first[a] : first[b - 1] + own_n[b - 1]] = smaller_holders([texts_[i] for i in order[a:b].tolist()], own_n[a:b], least[order[a:b]])
         a = b
+    base = np.empty(m, np.int64)
+    base[order] = first
     answers, done = [], 0
     for size in sizes:  # equal stretches of other chunks count too
-        own = range(done, done + size)
-        flags = np.concatenate([bits[at[i]] | (least[at[i]] < rank[i]) for i in own]) if size else np.zeros(0, bool)
+        own = slice(done, done + size)
+        flags = held[np.repeat(base[at[own]] - np.cumsum(n[own]) + n[own], n[own]) + np.arange(n[own].sum())] | np.repeat(least[at[own]] < rank[own], n[own])
         answers.append(_pack_arrays(np.packbits(flags))[0] if size else b"")
         done += size
     return pa.table({"bucket": group["bucket"].combine_chunks(), "chunk": pa.array(chunks, pa.int32()), "sent": pa.array([[x] for x in answers], pa.list_(pa.binary())), "strings": pa.array([int(x.sum()) for x in ns], pa.int64())})
@@ -266,14 +273,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Kept bytes may break a character, so they are binary. No documents: no rows.
     """
     own = texts(docs).withColumn("sha", F.unhex(F.sha2("text", 256)))
-    n = chunk_count(own)
+    n = chunk_count(text_bytes(own), CHUNK)
     # texts with a thousandth of all rows, at most a thousand, lose their copies at once; others meet in a chunk
     total = own.count()
     groups = own.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"), F.count("*").alias("n"))
     common = cut(groups.filter(F.col("n") * 1000 >= max(total, 100_000)).select("sha", F.col("first.doc_id").alias("first_id")))
     marked = own.join(F.broadcast(common.withColumn("common", F.lit(True))), "sha", "left")
     is_copy = F.coalesce("common", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
-    rest = marked.filter(~is_copy).select("doc_id", "text", F.pmod(F.xxhash64("sha"), F.lit(n)).cast("int").alias("chunk"))
+    rest = pack_chunks(marked.filter(~is_copy).select("doc_id", "text", chunk_of(n, "sha").alias("chunk")))
     sent = "bucket int, chunk int, sent array<binary>"
     sharing = rest.groupBy("chunk").applyInArrow(lambda g: _sharing(g, n), sent)
     kinds = cut(sharing.groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, kinds binary"))

@@ -30,6 +30,17 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return up
 
 
+def _with_inducers(small: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """wanted, with the suffixes between each of them and the next one that is sorted directly."""
+    n = len(small)
+    stop = np.minimum.accumulate(np.where(small, np.arange(n), n)[::-1])[::-1]  # the next sorted directly, or the end
+    at = np.flatnonzero(wanted)
+    steps = np.zeros(n + 2, np.int64)
+    np.add.at(steps, at, 1)
+    np.add.at(steps, np.minimum(stop[at], n) + 1, -1)
+    return np.cumsum(steps)[:n] > 0
+
+
 def words_at(text: np.ndarray, at: np.ndarray, n: int = DEPTH // 8) -> list[np.ndarray]:
     """The n big-endian 8-byte words from each position on; zeros follow the end."""
     padded = np.concatenate((text, np.zeros(8 * n, np.uint8)))
@@ -37,16 +48,20 @@ def words_at(text: np.ndarray, at: np.ndarray, n: int = DEPTH // 8) -> list[np.n
     return [np.ascontiguousarray(eight[at + 8 * k]).view(">u8").reshape(-1).astype(np.uint64) for k in range(n)]
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes of a uint8 array, in order to DEPTH bytes at least."""
+def suffix_array(text: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the suffixes of a uint8 array, in order to DEPTH bytes at least.
+
+    wanted: a mask of the suffixes asked for; then only they and those that induce them are sorted and returned.
+    """
     n = len(text)
     small = smaller_than_next(text)
-    direct = np.flatnonzero(small)
+    used = np.ones(n, bool) if wanted is None else _with_inducers(small, wanted)
+    direct = np.flatnonzero(small & used)
     direct = direct[np.lexsort(words_at(text, direct)[::-1])]
-    sizes = np.bincount(text, minlength=256)
+    sizes = np.bincount(text[used], minlength=256)
     heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))  # where induced suffixes go next
     tails = heads + sizes
-    order = np.full(n, -1, np.int64)
+    order = np.full(sizes.sum(), -1, np.int64)
     ends = np.cumsum(np.bincount(text[direct], minlength=256))
     for c in range(256):  # sorted ones fill their bucket from the back
         k = ends[c] - (ends[c - 1] if c else 0)
@@ -55,7 +70,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     def induce(met: np.ndarray) -> None:
         before = met - 1
         before = before[before >= 0]
-        before = before[~small[before]]
+        before = before[~small[before] & used[before]]
         byte = text[before]
         rank = np.argsort(byte, kind="stable")
         counts = np.bincount(byte, minlength=256)
