@@ -74,11 +74,11 @@ def chunk_of(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
-def pack_chunks(df: DataFrame) -> DataFrame:
+def pack_chunks(df: DataFrame, level: int = 3) -> DataFrame:
     """(chunk, rows): df's rows, which have a chunk each, as compressed Arrow streams, one for each batch and chunk."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))
         for b in batches:
             chunk = b["chunk"].to_numpy(zero_copy_only=False)
             order = np.argsort(chunk, kind="stable")

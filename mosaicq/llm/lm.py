@@ -24,7 +24,7 @@ ORDER = 3
 #: How many observations the shorter context's estimate is worth, by order.
 MASS = {2: 60.0, 3: 1.0}
 #: Bytes of text whose n-grams a Python worker holds at a time.
-CHUNK = 10 << 20
+CHUNK = 16 << 20
 #: Bits of an n-gram's key beyond those that count the corpus's bytes: an unseen n-gram is taken for a seen one less than once in a million.
 SPARE_BITS = 17
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -155,7 +155,7 @@ def score(docs: DataFrame, order: int = ORDER, mass: dict[int, float] | None = N
     own = texts(docs).select("doc_id", "text", F.coalesce(~left, F.lit(True)).alias("train"))
     total = text_bytes(own)
     n, bits = chunk_count(total, CHUNK), min(64, -(-(total.bit_length() + SPARE_BITS) // 8) * 8)
-    chunks = pack_chunks(own.withColumn("chunk", chunk_of(n, "doc_id", "text")))
+    chunks = pack_chunks(own.withColumn("chunk", chunk_of(n, "doc_id", "text")), level=9)
     sent = chunks.groupBy("chunk").applyInArrow(lambda g: _counts(g, order, n, bits), "bucket int, chunk int, sent array<binary>")
     answers = cut(sent.groupBy("bucket").applyInArrow(lambda g: _totals(g, order), "chunk int, bucket int, totals array<binary>, words long, tokens long"))
     words, tokens = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
