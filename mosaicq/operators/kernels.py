@@ -348,7 +348,7 @@ def trellis(values: np.ndarray, rate: float) -> list[int]:
             for zero, (cost, path) in states.items():
                 bits = (0.3 if zero else 1.0) if q == 0 else 2.5 + 2 * np.log2(abs(q)) + (1.0 if zero else 0.0)
                 total = cost + (v - q) ** 2 + rate * bits
-                if q == 0 not in new or total < new.get(q == 0, (float("inf"),))[0]:
+                if total < new.get(q == 0, (float("inf"),))[0]:
                     new[q == 0] = (total, [*path, q])
         states = {z: new.get(z, (float("inf"), [])) for z in (True, False)}
     return min(states.values(), key=lambda s: s[0])[1]

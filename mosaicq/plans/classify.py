@@ -12,7 +12,11 @@ from mosaicq.plans.sql import LONG, RGB, SIGNAL, XYB
 from mosaicq.plans.windows import _tap_sql, raw_channels
 from mosaicq.sources import planes
 
-BX, BY = F.expr("x div 8").alias("bx"), F.expr("y div 8").alias("bv")
+
+
+def site():
+    """The 8x8 site of a pixel."""
+    return F.expr("x div 8").alias("bx"), F.expr("y div 8").alias("bv")
 
 
 @query("flt01_constant_blocks", f"""WITH {RGB}, s AS (SELECT img, x // 8 AS bx, y // 8 AS bv, min(r // 32) = max(r // 32) AND min(g // 128) = max(g // 128) AND min(b // 128) = max(b // 128) AS flat FROM rgb GROUP BY ALL)
@@ -23,7 +27,7 @@ def _(spark, sf):
     for c, k in (("r", 32), ("g", 128), ("b", 128)):
         q = F.expr(f"{c} div {k}")
         flat = flat & (F.min(q) == F.max(q))
-    s = planes.rgb8(spark, sf).groupBy("img", BX, BY).agg(flat.cast("int").alias("flat"))
+    s = planes.rgb8(spark, sf).groupBy("img", *site()).agg(flat.cast("int").alias("flat"))
     return s.groupBy("img").agg(F.round(F.avg("flat"), 6).alias("share"), (F.avg("flat") >= 0.15).alias("screen"))
 
 
@@ -45,7 +49,7 @@ def _(spark, sf):
 @query("flt04_textured_share", f"WITH {RGB}, s AS (SELECT img, x // 8 AS bx, y // 8 AS bv, count(DISTINCT (77 * r + 150 * g + 29 * b) >> 8) AS levels FROM rgb GROUP BY ALL) SELECT img, round(avg((levels >= 12)::INT), 6) AS share FROM s GROUP BY img")
 def _(spark, sf):
     luma = F.shiftright(F.expr("77 * r + 150 * g + 29 * b"), 8)
-    s = planes.rgb8(spark, sf).groupBy("img", BX, BY).agg(F.countDistinct(luma).alias("levels"))
+    s = planes.rgb8(spark, sf).groupBy("img", *site()).agg(F.countDistinct(luma).alias("levels"))
     return s.groupBy("img").agg(F.round(F.avg((F.col("levels") >= 12).cast("int")), 6).alias("share"))
 
 
@@ -58,7 +62,7 @@ def _(spark, sf):
     q = raw_channels(spark, sf).filter("c = 0").withColumn("v", F.expr("v div 32"))
     t = q.select("img", "x", "y", "v", "i", "c", *[F.coalesce(tap(*o), F.col("v")).alias(f"t{k}") for k, o in enumerate(_FOUR)])
     same = sum(((F.col(f"t{k}") == F.col("v")).cast("int") for k in range(1, 4)), (F.col("t0") == F.col("v")).cast("int"))
-    return t.groupBy("img", BX, BY).agg(F.count_if(same >= 2).alias("flat"), F.count("*").alias("n"))
+    return t.groupBy("img", *site()).agg(F.count_if(same >= 2).alias("flat"), F.count("*").alias("n"))
 
 
 @query("flt06_rich_tiles", f"""WITH {RGB}, k AS (SELECT img, x, y, r * 65536 + g * 256 + b AS k FROM rgb), u AS (SELECT img, k, count(*) AS uses FROM k GROUP BY ALL)
@@ -68,7 +72,7 @@ def _(spark, sf):
     k = planes.rgb8(spark, sf).select("img", "x", "y", F.expr("r * 65536 + g * 256 + b").alias("k"))
     k = k.withColumn("uses", F.count("*").over(W.partitionBy("img", "k")))
     rare, variety = F.avg((F.col("uses") < 2).cast("int")), F.countDistinct("k") / F.count("*").cast("double")
-    return k.groupBy("img", BX, BY).agg(F.round(rare, 6).alias("rare"), F.round(variety, 6).alias("variety"), ((rare >= 0.3) | (variety >= 0.95)).alias("rich"))
+    return k.groupBy("img", *site()).agg(F.round(rare, 6).alias("rare"), F.round(variety, 6).alias("variety"), ((rare >= 0.3) | (variety >= 0.95)).alias("rich"))
 
 
 @query("flt07_equality_maps", f"""WITH {LONG}, l AS (SELECT img, i, x, y, (77 * r + 150 * g + 29 * b) >> 8 AS v, 0 AS c FROM rgb) SELECT img, i, coalesce({_tap_sql(1, 0)} = v, false) AS right_same, coalesce({_tap_sql(0, 1)} = v, false) AS below_same FROM l""")
@@ -111,7 +115,7 @@ def _(spark, sf):
 @query("flt12_few_colors", f"""WITH {XYB}, q AS (SELECT img, x // 8 AS bx, y // 8 AS bv, round(xx * 1024) AS a, round(yy * 1024) AS b, round(bb * 1024) AS c FROM xyb) SELECT img, bx, bv, count(DISTINCT (a, b, c)) AS colors, count(DISTINCT (a, b, c)) <= 24 AS few FROM q GROUP BY img, bx, bv""")
 def _(spark, sf):
     n = F.countDistinct(*[F.round(F.col(c) * 1024) for c in ("xx", "yy", "bb")])
-    return xyb_pixels(spark, sf).groupBy("img", BX, BY).agg(n.alias("colors"), (n <= 24).alias("few"))
+    return xyb_pixels(spark, sf).groupBy("img", *site()).agg(n.alias("colors"), (n <= 24).alias("few"))
 
 
 @query("flt13_tile_energy", f"""WITH {LONG}, m AS (SELECT *, avg(v) OVER (PARTITION BY img, c, x // 8, y // 8) AS m FROM ch) SELECT img, c, x // 8 AS bx, y // 8 AS bv, round(avg(abs(v - m)) / 255, 6) AS energy, avg(abs(v - m)) / 255 >= 0.017 AS kept FROM m GROUP BY img, c, x // 8, y // 8""")
@@ -152,7 +156,7 @@ SELECT bin, mode, count(*) AS patches, count(*) FILTER (WHERE score < (mode + 1)
 def _(spark, sf):
     """Patches below the edge of their intensity's most frequent score level; levels of a bin are few, patches any number."""
     t = raw_channels(spark, sf).filter("c = 1").select("img", "x", "y", "v", "i", "c", F.coalesce(tap(-1, 0), F.col("v")).alias("w"))
-    p = t.groupBy("img", BX, BY).agg(F.avg("v").alias("m"), F.avg(F.abs(F.col("v") - F.col("w"))).alias("score"))
+    p = t.groupBy("img", *site()).agg(F.avg("v").alias("m"), F.avg(F.abs(F.col("v") - F.col("w"))).alias("score"))
     h = p.groupBy(F.floor(F.col("m") / 64).alias("bin"), F.floor(F.col("score") / 8).alias("level")).agg(F.count("*").alias("n"))
     mode = F.min(F.struct((-F.col("n")).alias("n"), "level")).over(W.partitionBy("bin"))["level"]
     return h.withColumn("mode", mode).groupBy("bin", "mode").agg(F.sum("n").alias("patches"), F.sum(F.when(F.col("level") <= F.col("mode"), F.col("n")).otherwise(0)).alias("flat"))

@@ -296,9 +296,9 @@ def _(spark, sf):
     pairs = [(a, b) for a in range(12) for b in range(a + 1, 12)]
     cost = lambda n: F.sum(n) * F.log2(F.sum(n)) - F.sum(F.when(n > 0, n * F.log2(n)).otherwise(0.0))
     col = lambda k: F.col(f"`{k}`")
-    sums = wide.agg(*[cost(col(k)).alias(f"o{k}") for k in range(12)], *[cost(col(a) + col(b)).alias(f"p{a}_{b}") for a, b in pairs])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.round(F.col(f"p{a}_{b}") - F.col(f"o{a}") - F.col(f"o{b}"), 3).alias("distance")) for a, b in pairs]))
-    return sums.select(rows.alias("t")).select("t.*")
+    sums = wide.agg(*[F.sum(col(k)).alias(f"t{k}") for k in range(12)], *[cost(col(k)).alias(f"o{k}") for k in range(12)], *[cost(col(a) + col(b)).alias(f"p{a}_{b}") for a, b in pairs])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), ((F.col(f"t{a}") > 0) & (F.col(f"t{b}") > 0)).alias("both"), F.round(F.col(f"p{a}_{b}") - F.col(f"o{a}") - F.col(f"o{b}"), 3).alias("distance")) for a, b in pairs]))
+    return sums.select(rows.alias("t")).filter("t.both").select("t.a", "t.b", "t.distance")
 
 
 _CONFIGS = ((4, 2, 0), (4, 1, 0), (3, 1, 0), (5, 1, 1), (4, 0, 0))

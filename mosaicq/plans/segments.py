@@ -13,13 +13,19 @@ from mosaicq.plans.sql import LONG, RGB
 from mosaicq.plans.windows import _tap_sql, raw_channels
 from mosaicq.sources import planes
 
-TX, TY = F.expr("x div 4").alias("tx"), F.expr("y div 4").alias("ty")
+
+
+def tile():
+    """The 4x4 tile of a pixel."""
+    return F.expr("x div 4").alias("tx"), F.expr("y div 4").alias("ty")
+
+
 _TILE = "tile AS (SELECT img, x // 4 AS tx, y // 4 AS ty, list(v ORDER BY i) AS t FROM (SELECT img, x, y, i, a // 255 AS v FROM rgb) GROUP BY ALL HAVING count(*) = 16)"
 
 
 def tiles(px, value):
     """(img, tx, ty, t): each whole 4x4 tile's samples in raster order."""
-    t = px.groupBy("img", TX, TY).agg(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))).alias("p"))
+    t = px.groupBy("img", *tile()).agg(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))).alias("p"))
     return t.filter(F.size("p") == 16).select("img", "tx", "ty", F.col("p.v").alias("t"))
 
 
@@ -54,7 +60,7 @@ def _(spark, sf):
     """Shapes by their bitmap, those that pay for a dictionary entry."""
     on = F.col("r") > 200
     bit = F.call_function("shiftleft", F.lit(1), F.expr("int((y % 4) * 4 + x % 4)"))
-    shape = planes.rgb8(spark, sf).groupBy("img", TX, TY).agg(F.sum(F.when(on, bit).otherwise(0)).alias("bits"), F.count_if(on).alias("ink"), F.count("*").alias("m")).filter("m = 16 and ink > 0")
+    shape = planes.rgb8(spark, sf).groupBy("img", *tile()).agg(F.sum(F.when(on, bit).otherwise(0)).alias("bits"), F.count_if(on).alias("ink"), F.count("*").alias("m")).filter("m = 16 and ink > 0")
     g = shape.groupBy("bits").agg(F.count("*").alias("uses"), F.max("ink").alias("ink"))
     return g.withColumn("saving", (F.col("uses") - 1) * 20 - 30).filter("saving > 0")
 
@@ -194,5 +200,5 @@ def _(spark, sf):
 def _(spark, sf):
     on = F.col("r") > 200
     bit = F.call_function("shiftleft", F.lit(1), F.expr("int((y % 4) * 4 + x % 4)"))
-    shape = planes.rgb8(spark, sf).groupBy("img", TX, TY).agg(F.sum(F.when(on, bit).otherwise(0)).alias("bits"), F.count_if(on).alias("ink"), F.count("*").alias("m")).filter("m = 16")
+    shape = planes.rgb8(spark, sf).groupBy("img", *tile()).agg(F.sum(F.when(on, bit).otherwise(0)).alias("bits"), F.count_if(on).alias("ink"), F.count("*").alias("m")).filter("m = 16")
     return shape.filter((F.col("img") % 2 == 0) | (F.col("ink") > 8)).select("bits").distinct()
