@@ -17,8 +17,8 @@ from mosaicq.llm.common import cut, table
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that one bucket of a source is planned to hold; a source of any size is cut into such buckets.
-BUCKET_ROWS = 4096
+#: Rows of all sources that one bucket of the shuffle hash is planned to hold; a source of any size is cut into such buckets.
+BUCKET_ROWS = 512
 
 
 def _columns(seed: int) -> list[Column]:
@@ -26,7 +26,7 @@ def _columns(seed: int) -> list[Column]:
     return [
         F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("m_source"),  # the order of code points, null last
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("m_size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("m_hash"),
+        F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)).alias("m_hash"),
         F.col("doc_id").alias("m_doc"),
     ]
 
@@ -54,8 +54,8 @@ def _served(rows: DataFrame, lean: DataFrame, n: int, plan: DataFrame, epochs: i
     Prefix sums go bucket by bucket of the shuffle hash, so no task holds a source; a copy is taken if half of
     it is served by the cut, which keeps every source within half a document of its target.
     """
-    bits = max(1, (n // BUCKET_ROWS).bit_length())
-    bucket = F.shiftrightunsigned("m_hash", 64 - bits)
+    digits = max(1, -(-(n // BUCKET_ROWS).bit_length() // 4))
+    bucket = F.substring("m_hash", 1, digits)
     sums = lean.groupBy("m_source", bucket.alias("m_bucket")).agg(F.sum("m_size").alias("s"))
     before = W.partitionBy("m_source").orderBy("m_bucket").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select("m_source", "m_bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("m_base"))
@@ -89,5 +89,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = MAX
     return copies.orderBy(finish, "m_source", "m_hash", "m_doc").select("m_row.*")
 
 
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS h FROM documents),
+s AS (SELECT k, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY k) - 1 AS rank FROM d GROUP BY k),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 3.0::DOUBLE AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio FROM w),
+t AS (SELECT *, coalesce(sum(cap) OVER b, 0.0::DOUBLE) AS filled, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0::DOUBLE) AS open_weight, sum(source_size) OVER ()::DOUBLE AS total
+  FROM r WINDOW b AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, (total - filled) / open_weight AS clock FROM t),
+stop AS (SELECT clock AS at_time FROM c WHERE clock <= ratio ORDER BY ratio, k LIMIT 1),
+g AS (SELECT k, source_size, coalesce(least(cap, weight * at_time), 0.0::DOUBLE) AS target FROM c LEFT JOIN stop ON true),
+p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS served FROM d JOIN g USING (k))
+SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN size * greatest(0, least(3, CAST(floor((target - served - size / 2) / source_size) AS BIGINT) + 1)) ELSE 0 END AS taken FROM p
+"""
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(table(spark, sf_dir, "documents"))

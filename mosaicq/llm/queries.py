@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_repeats": repeats.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}

@@ -299,3 +299,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: The same in SQL, over the texts' hexadecimal digits.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS k FROM d WHERE length(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+r AS (SELECT w.doc_id, k FROM w JOIN f USING (s) WHERE least < w.doc_id),
+i AS (SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM r)),
+g AS (SELECT doc_id, span, min(k) AS a, max(k) + 50 AS b FROM i GROUP BY doc_id, span),
+gone AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM g GROUP BY doc_id),
+keep AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM g UNION ALL SELECT g.doc_id, max(b), any_value(length(h) // 2) FROM g JOIN d USING (doc_id) GROUP BY g.doc_id),
+kept AS (SELECT keep.doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM keep JOIN d USING (doc_id) GROUP BY keep.doc_id)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
