@@ -11,9 +11,13 @@ from fractions import Fraction
 
 import numpy as np
 
-# Fixed values of the weighted predictor's first preset: the four shares, and what each kind of error adds.
-WP_SHARES = (13, 12, 12, 12)
-WP_TERMS = (16, 10, 7, 7, 7, 0, 0)
+# Fixed values of the weighted predictor's presets: the four shares, and what each kind of error adds.
+WP_PRESETS = (
+    ((13, 12, 12, 12), (16, 10, 7, 7, 7, 0, 0)),
+    ((13, 12, 12, 11), (8, 8, 4, 0, 3, 23, 2)),
+    ((13, 12, 13, 12), (10, 9, 7, 0, 0, 16, 9)),
+    ((13, 13, 12, 12), (16, 8, 0, 16, 0, 23, 0)),
+)
 
 
 def _share(errors: int, weight: int) -> int:
@@ -21,7 +25,7 @@ def _share(errors: int, weight: int) -> int:
     return 4 + ((weight * ((1 << 24) // ((errors >> shift) + 1))) >> shift)
 
 
-def weighted_residuals(plane: np.ndarray) -> np.ndarray:
+def weighted_residuals(plane: np.ndarray, own_shares: tuple = WP_PRESETS[0][0], p: tuple = WP_PRESETS[0][1]) -> np.ndarray:
     """What the self-correcting predictor leaves of a plane: four guesses are weighed by how far each was off nearby."""
     rows, cols = plane.shape
     off = np.zeros((4, rows, cols + 1), np.int64)  # how far each guess was off
@@ -39,7 +43,6 @@ def weighted_residuals(plane: np.ndarray) -> np.ndarray:
             e_nw = int(true_error[y - 1, x - 1]) if x and y else e_n
             e_ne = int(true_error[y - 1, x + 1]) if y and x + 1 < cols else e_n
             w8, n8, nw8, ne8, nn8 = (v * 8 for v in (w, n, nw, ne, nn))
-            p = WP_TERMS
             guesses = (
                 w8 + ne8 - n8,
                 n8 - ((e_n + e_w + e_ne) * p[0] >> 5),
@@ -47,7 +50,7 @@ def weighted_residuals(plane: np.ndarray) -> np.ndarray:
                 n8 - ((e_nw * p[2] + e_n * p[3] + e_ne * p[4] + (nn8 - n8) * p[5] + (nw8 - w8) * p[6]) >> 5),
             )
             near = [sum(int(off[k, y - 1, i]) for i in (x, min(x + 1, cols - 1), max(x - 1, 0))) if y else 0 for k in range(4)]
-            shares = [_share(e, s) for e, s in zip(near, WP_SHARES, strict=True)]
+            shares = [_share(e, s) for e, s in zip(near, own_shares, strict=True)]
             shift = sum(shares).bit_length() - 1 - 4
             shares = [s >> shift for s in shares]
             total = sum(shares)
@@ -466,3 +469,38 @@ def closed_loop(values: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
         before += q * step
         codes[k], have[k] = q, before
     return codes, have
+
+
+def merge_boxes(boxes: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Boxes (x0, y0, x1, y1), ends included, joined until none overlap; in order."""
+    out: list[tuple[int, int, int, int]] = []
+    for box in boxes:
+        while True:
+            hit = next((b for b in out if b[0] <= box[2] and box[0] <= b[2] and b[1] <= box[3] and box[1] <= b[3]), None)
+            if hit is None:
+                break
+            out.remove(hit)
+            box = (min(box[0], hit[0]), min(box[1], hit[1]), max(box[2], hit[2]), max(box[3], hit[3]))
+        out.append(box)
+    return sorted(out)
+
+
+def trace_chains(strength: np.ndarray, least: int) -> list[list[tuple[int, int]]]:
+    """Chains of 8-neighbours of at least a strength: from the strongest free pixel on, always to the strongest free neighbour."""
+    free = strength >= least
+    rows, cols = strength.shape
+    chains = []
+    for at in np.argsort(-strength, axis=None, kind="stable").tolist():
+        y, x = divmod(at, cols)
+        if not free[y, x]:
+            continue
+        chain = []
+        while True:
+            free[y, x] = False
+            chain.append((x, y))
+            near = [(-int(strength[v, u]), v, u) for v in range(max(0, y - 1), min(rows, y + 2)) for u in range(max(0, x - 1), min(cols, x + 2)) if free[v, u]]
+            if not near:
+                break
+            _, y, x = min(near)
+        chains.append(chain)
+    return chains

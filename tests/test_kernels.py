@@ -132,3 +132,10 @@ def test_trees_pay_and_small_fits():
     assert c[0] == c[1] != c[2]
     out = k.fill_invisible(np.array([[1, 9], [1, 9]]), np.array([[True, False], [True, True]]))
     assert out.tolist() == [[1, 1], [1, 9]]
+
+
+def test_boxes_and_chains():
+    assert k.merge_boxes([(0, 0, 2, 2), (5, 5, 6, 6), (2, 2, 5, 5), (9, 0, 9, 0)]) == [(0, 0, 6, 6), (9, 0, 9, 0)]
+    v = np.zeros((5, 6), int)
+    v[2, 1:5] = [9, 8, 7, 6]
+    assert k.trace_chains(v, 5) == [[(1, 2), (2, 2), (3, 2), (4, 2)]]
