@@ -481,3 +481,26 @@ def test_word_pattern_is_the_bytes_split():
 
     text = "a\x1cb c d\te\x0bf g"
     assert re.findall(WORD, text) == [w.decode() for w in text.encode().split()]
+
+
+def test_crowded_lines_are_split_and_joined_by_rare_shingles(make, monkeypatch):
+    """Small limits send every route through the crowded paths; the links must be those of brute force."""
+    monkeypatch.setattr(lines, "SMALL", 2)
+    base = [f"w{k}" for k in range(40)]
+    texts = [" ".join(base[:k] + [f"v{k}"] + base[k + 1 :]) for k in range(0, 40, 3)] + [" ".join(f"q{j}x{k}" for k in range(6)) + " of the end" for j in range(30)] + [" ".join(base)]
+    got = {(r.doc_id, r.line_no): r.holder for r in lines.repeated_lines(make(texts)).collect()}
+    sets = [line_set(t) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    groups = defaultdict(list)
+    for k, r in enumerate(roots(len(texts), links)):
+        groups[r].append(k)
+    assert got == {(k, 0): min(g) for g in groups.values() if len(g) > 1 for k in g}
+
+
+def test_rare_shingles_find_all_near_sets(spark):
+    rng = np.random.default_rng(12)
+    sets = [sorted({int(x) for x in rng.integers(0, 25, rng.integers(1, 14))}) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(sets)), "key long, set array<int>")
+    got = {(r.a, r.b) for r in lines._verified(lines._rare_pairs(df).distinct(), df).collect()}
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert got == want
