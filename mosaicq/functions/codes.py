@@ -24,7 +24,7 @@ def hybrid_token(v: Column, split: int = 4, msb: int = 2, lsb: int = 0) -> Colum
     """The token of a hybrid integer: values below 2**split stand for themselves, larger ones give their magnitude and
     the msb bits that follow its first and its lsb last."""
     n = floor_log2(v)
-    top = F.expr("0") + F.call_function("shiftright", v - F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")), (n - msb).cast("int"))
+    top = F.call_function("shiftright", v - F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")), (n - msb).cast("int"))
     low = v.bitwiseAND(F.lit((1 << lsb) - 1))
     big = F.lit(1 << split) + (n - split) * (1 << (msb + lsb)) + top * (1 << lsb) + low
     return F.when(v < (1 << split), v).otherwise(big)

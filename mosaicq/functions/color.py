@@ -115,7 +115,7 @@ def rct(kind: int, c: list[Column]) -> list[Column]:
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
-    return F.expr("0") + r * 299 + g * 587 + b * 114
+    return r * 299 + g * 587 + b * 114
 
 
 def blend(over: Column, under: Column, coverage: Column) -> Column:

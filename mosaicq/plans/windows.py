@@ -179,7 +179,7 @@ _G = {"r": -0.0949581567, "d": -0.0410317251, "R": 0.0137100048, "L": 0.00651020
 _NORM = 1 / (1 + 4 * (_G["r"] + _G["d"] + _G["R"] + _G["D"] + 2 * _G["L"]))
 _BY = {(0, 0): 1.0, (0, 1): _G["r"], (1, 1): _G["d"], (0, 2): _G["R"], (1, 2): _G["L"], (2, 2): _G["D"]}
 SHARPEN = [[_BY[tuple(sorted((abs(dx), abs(dy))))] * _NORM for dx in range(-2, 3)] for dy in range(-2, 3)]
-SMOOTH = [[(0.06, 0.115, 0.06)[dx] * 1.0 if dy != 1 else (0.115, 0.3, 0.115)[dx] for dx in range(3)] for dy in range(3)]
+SMOOTH = [[0.06, 0.115, 0.06], [0.115, 0.3, 0.115], [0.06, 0.115, 0.06]]
 
 
 def _convolution_sql(kernel: list[list[float]]) -> str:
