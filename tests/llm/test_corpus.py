@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from mosaicq.llm import ann, components, decontaminate, lines, lm, mixing, paragraphs, quality, repeats, simhash, suffixes, token_files
 
@@ -504,3 +505,18 @@ def test_rare_shingles_find_all_near_sets(spark):
     got = {(r.a, r.b) for r in lines._verified(lines._rare_pairs(df).distinct(), df).collect()}
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
     assert got == want
+
+
+def grams(line):
+    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
+
+
+def test_lines_with_a_wrong_character_are_near_by_plain_character_shingles(make):
+    line = "the committee will publish its annual report on the state of the harbour"
+    texts = [line, line.replace("annual", "annval"), line.replace("annual", "monthly"), "été à la mer où naît 🌊 l'écume blanche", "été à la mer où naît 🌊 l'écume blanchi", "ab", "ac"]
+    sets = [grams(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert near == [(1, 0), (4, 3)]
+    assert {(r.doc_id, r.holder) for r in lines.repeated_lines(make(texts)).collect()} == {(0, 0), (1, 0), (3, 3), (4, 3)}
+    held = make(texts).select("text", lines.shingles(F.col("text")).alias("set")).collect()
+    assert [len(r["set"]) for r in held] == [len(s) for s in sets]
