@@ -520,3 +520,25 @@ def test_lines_with_a_wrong_character_are_near_by_plain_character_shingles(make)
     assert {(r.doc_id, r.holder) for r in lines.repeated_lines(make(texts)).collect()} == {(0, 0), (1, 0), (3, 3), (4, 3)}
     held = make(texts).select("text", lines.shingles(F.col("text")).alias("set")).collect()
     assert [len(r["set"]) for r in held] == [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("small", [1, 3])
+def test_crowded_bands_lose_no_link(spark, make, monkeypatch, small):
+    """Lines of which each is near the next alone, so pivots part neighbours; with all bands crowded the components must be those of brute force."""
+    monkeypatch.setattr(lines, "SMALL", small)
+    rng = np.random.default_rng(3)
+    letter = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    texts = []
+    for _ in range(5):
+        parts = [letter(8) for _ in range(12)]
+        for k in range(12):
+            parts = parts[:k] + [letter(4) + parts[k][4:]] + parts[k + 1 :]
+            texts.append(" ".join(parts))
+    docs = make(texts)
+    sets = [grams(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    once = lines.signatures(docs).withColumns({f"m{j}": F.lit(0) for j in range(lines.ROWS)})  # one band of all lines
+    key = {r.key: r.doc_id for r in lines.lines(docs).collect()}
+    found = [(key[r.a], key[r.b]) for r in lines.links(once, docs).collect()]
+    assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in near}
+    assert roots(len(texts), found) == roots(len(texts), near)
