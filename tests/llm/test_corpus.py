@@ -542,3 +542,10 @@ def test_crowded_bands_lose_no_link(spark, make, monkeypatch, small):
     found = [(key[r.a], key[r.b]) for r in lines.links(once, docs).collect()]
     assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in near}
     assert roots(len(texts), found) == roots(len(texts), near)
+
+
+def test_paragraphs_of_few_words_are_units(make):
+    verse = "shall i compare thee to a summers day"
+    texts = [f"{verse}\nonly here one\nto be or not", "To be  or not\nanother line", verse + "\nsomething else again", " ".join(["shall"] + verse.split()[1:] + ["now"]) + "\nto be or"]
+    got = {(r.doc_id, r.kind, r.start, r.end, r.holder, r.removed) for r in paragraphs.repeated_units(make(texts)).collect()}
+    assert got == {(0, "paragraph", 0, 8, 0, False), (2, "paragraph", 0, 8, 0, True), (3, "paragraph", 0, 9, 0, True), (0, "short", 11, 15, 0, False), (1, "short", 0, 4, 0, True)}
