@@ -544,6 +544,22 @@ def test_crowded_bands_lose_no_link(spark, make, monkeypatch, small):
     assert roots(len(texts), found) == roots(len(texts), near)
 
 
+def test_few_pairs_at_the_similarity_share_no_band(make):
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(4000):
+        line = rng.choice(list("abcdefghijklmnop"), 100)
+        near = line.copy()
+        near[[30, 70]] = "z"
+        texts += ["".join(line), "".join(near)]
+    x, y = grams(texts[0]), grams(texts[1])
+    assert 0.8 <= len(x & y) / len(x | y) < 0.82
+    docs = make(texts)
+    of = lines.lines(docs).select("key", F.expr("doc_id div 2").alias("pair"))
+    shared = lines._bands(lines.signatures(docs)).join(of, "key").groupBy("pair", "band").count().filter("count = 2")
+    assert 4000 - shared.select("pair").distinct().count() <= 4000 * 0.0003
+
+
 def test_paragraphs_of_few_words_are_units(make):
     verse = "shall i compare thee to a summers day"
     texts = [f"{verse}\nonly here one\nto be or not", "To be  or not\nanother line", verse + "\nsomething else again", " ".join(["shall"] + verse.split()[1:] + ["now"]) + "\nto be or"]
