@@ -19,76 +19,103 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mosaicq.llm.common import Places, chunk_count, cut, shared_dir, table, text_bytes, texts
+from mosaicq.llm.common import Places, chunk_count, cut, shared_dir, slices, table, text_bytes, texts
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
 #: Fixed values of zstandard's frame formats: a skippable frame, the seek table's frame, its last four bytes.
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-#: Words a worker remembers with their ids; beyond it starts anew, which changes no result.
-MEMORY = 400_000
-#: How byte-level BPE parts a text, fixed by the vocabulary, with the letters and numbers of PLAIN texts spelt out.
-_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ȳ", "0-9²³¹¼½¾"
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\s{_LETTER}{_NUMBER}]+|\\s+(?!\\S)|\\s+").findall
-#: Texts with other characters than these go through the tokenizer in one piece.
-PLAIN = re.compile("[^\t\n\x20-\x7e\xa1-\xac\xae-ȳ]").search
+#: Distinct pieces of texts a worker remembers with their ids; beyond it starts anew, which changes no result.
+MEMORY = 1_000_000
+#: Bytes of text encoded in one go.
+STEP = 8 << 20
+#: Stands for a line break, and before the first piece of a line; texts that hold either are encoded whole.
+_BREAK, _FIRST = "\x00", "\x01"
+#: Marks after a word that end its piece make a piece of their own.
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ȳ"
+_MARKS = (f"([{_LETTER}])([!-&(-/:-@\\[-`{{-~]+)( |\\z)", f"\\1 {_FIRST}\\2\\3")
+#: Texts that hold one of these are encoded whole: rarer characters, and runs of blanks that byte-level BPE may take as one.
+_WHOLE = r"[^\t\n -~¡-¬®-ȳ]|[\t\n ]{3}|[\t\n ]{2}\z"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; with byte-level BPE each distinct part is encoded once."""
+    """Ids of whole texts by the tokenizers library.
+
+    Byte-level BPE never joins ids across a blank or a line break that stands alone or before one more, nor across the border of a
+    word and the marks after it, so such texts are cut there and each distinct piece is encoded once, by the library, blank before it
+    included. All others are encoded whole.
+    """
 
     def __init__(self, definition: str, end_id: int = END_ID):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_str(definition), end_id
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        pre = json.loads(definition).get("pre_tokenizer") or {}
-        self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not json.loads(definition).get("normalizer")
+        about = json.loads(definition)
+        pre = about.get("pre_tokenizer") or {}
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not about.get("normalizer")
+        self.whole = "|".join([_WHOLE, *(re.escape(t["content"]) for t in about.get("added_tokens", []))])
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.dtype("<u4")
         self._forget()
 
     def _forget(self) -> None:
         self.known = Places()
-        self.flat, self.ends = np.empty(1 << 16, np.int64), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, np.int64)
-        own = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
-        ends = self.ends[-1] + np.cumsum(own)
-        if ends[-1] > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), len(ids)), np.int64)))
-        self.flat[self.ends[-1] : ends[-1]] = ids
+        self.flat, self.ends = np.empty(1 << 16, self.dtype), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        spelt = ["\n" if p == _BREAK else p[1:] if p[:1] == _FIRST else " " + p for p in pieces]
+        got = self.tokenizer.encode(spelt, is_pretokenized=True, add_special_tokens=False)
+        ends = self.ends[-1] + np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(spelt)))
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        self.flat[self.ends[-1] : ends[-1]] = got.ids
         self.ends = np.concatenate((self.ends, ends))
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """For each text its ids and the end id."""
+    def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's end."""
         if len(self.known) > MEMORY:
             self._forget()
-        place, parted, whole = self.known.__getitem__, [], {}
-        for i, text in enumerate(texts):
-            if not self.by_part or PLAIN(text):
-                whole[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
-                parted.append(None)
-                continue
-            parts = PARTS(text)
-            parted.append(np.fromiter(map(place, parts), np.int64, len(parts)))
+        first, nothing = (pa.scalar(x, texts.type) for x in (_FIRST, ""))
+        marked = pc.binary_join_element_wise(first, pc.replace_substring(texts, "\n", f" {_BREAK} {_FIRST}"), nothing)
+        pieces = pc.split_pattern(pc.replace_substring_regex(marked, *_MARKS), " ")
+        coded = pc.dictionary_encode(pieces.flatten())
+        place = np.fromiter(map(self.known.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         if len(self.known) >= len(self.ends):
             self._learn(list(islice(self.known, len(self.ends) - 1, None)))
-        starts = self.ends
-        for i, at in enumerate(parted):
-            if at is None:
-                ids = np.asarray(whole[i], np.int64)
+        at = place[coded.indices.to_numpy(zero_copy_only=False)]
+        start, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.flat[np.repeat(start - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[pieces.offsets.to_numpy()[1:] - pieces.offsets[0].as_py()]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """For each text, none of them null, its ids and the end id."""
+        whole = pc.match_substring_regex(texts, self.whole) if self.by_piece else pa.array([True] * len(texts), pa.bool_())
+        ids, ends = self._by_piece(texts.filter(pc.invert(whole))) if self.by_piece else (None, np.empty(0, np.int64))
+        done, k = 0, 0
+        for i, alone in enumerate(whole.to_pylist()):
+            if alone:
+                own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
             else:
-                n = starts[at + 1] - starts[at]
-                ids = self.flat[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(at) else np.empty(0, np.int64)
-            yield np.append(ids, self.end_id).astype(self.dtype)
+                own, done, k = ids[done : ends[k]], ends[k], k + 1
+            yield np.append(own, self.dtype.type(self.end_id))
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(definition: str, end_id: int) -> Encoder:
+    """The worker's own, so that its tasks share what they learn."""
+    if (definition, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[definition, end_id] = Encoder(definition, end_id)
+    return _ENCODERS[definition, end_id]
 
 
 class Writer:
@@ -193,17 +220,11 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_i
         name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.zst"
         for batch in batches:
             if writer is None and batch.num_rows:
-                encoder, out = Encoder(definition.value, end_id), _open(name, "w")
+                encoder, out = _encoder(definition.value, end_id), _open(name, "w")
                 writer = Writer(out, encoder.dtype, end_id)
-            at = 0
-            while at < batch.num_rows:
-                own, size = [], 0
-                ids = batch["doc_id"].slice(at)
-                while at < batch.num_rows and size < 4 << 20:
-                    own.append(batch["text"][at].as_py())
-                    size += len(own[-1])
-                    at += 1
-                for doc_id, x in zip(ids[: len(own)].to_pylist(), encoder.encode(own), strict=True):
+            for part in slices(batch, STEP):
+                column = part["text"].cast(pa.large_string())
+                for doc_id, x in zip(part["doc_id"].to_pylist(), encoder.encode(column), strict=True):
                     writer.add(doc_id, x)
                     tokens += len(x)
         if writer is not None:

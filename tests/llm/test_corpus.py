@@ -57,7 +57,6 @@ def test_token_files_round_trip(make, prose, tokenizer):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer)
-    own.encode_special_tokens = True
     docs = make(prose + ["<|endoftext|> x", "日本 а б"])
     files = token_files.write(docs, tokenizer)
     got = {r.doc_id: r for r in token_files.read(files).collect()}
@@ -69,6 +68,28 @@ def test_token_files_round_trip(make, prose, tokenizer):
     assert sum(r.n_tokens for r in files.collect()) == start
 
 
+def test_pieces_encode_as_the_library_encodes_whole_texts(tokenizer):
+    """Texts that are cut in every way the encoder knows, and every character it takes as plain, against the library as it comes."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    odd = ["a", "b", "'s", "1", "é", "ß", "\t", "\n", " ", " ", "\n", "ab", " ", "!", "<|endoftext|>", "\x00", "\x01", "日", "\xa0", "\x85", "'", "'ll", "\r", "²", "ȳ"]
+    texts = ["".join(rng.choice(odd[:n]) for _ in range(rng.randint(0, 12))) for n in (14, len(odd)) for _ in range(5000)]
+    plain = [chr(c) for c in [*range(9, 127), *range(161, 173), *range(174, 564)]]
+    texts += [x.format(c) for c in plain for x in ("{0}a", "{0} b", "{0}\nc", "{0}'s", "x{0}1{0}b1", "x{0} {0}b", "x{0}\n{0}.", "x{0}", "word{0}{0} y")]
+    texts += pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    own = Tokenizer.from_file(tokenizer)
+    with open(tokenizer) as f:
+        got = list(token_files.Encoder(f.read()).encode(pa.array([t or "" for t in texts])))
+    assert len(got) == len(texts)
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == [*own.encode(text or "", add_special_tokens=False).ids, 2], text
+
+
 def test_token_files_hold_independent_checked_frames(tmp_path, make, tokenizer):
     import zstandard
 
