@@ -168,16 +168,6 @@ def rans_decode(state: int, words: list[int], n: int, freq: list[int], bits: int
     return out
 
 
-def move_to_front(values: list[int]) -> list[int]:
-    order = sorted(set(values))
-    out = []
-    for v in values:
-        k = order.index(v)
-        out.append(k)
-        order.insert(0, order.pop(k))
-    return out
-
-
 def lz_parse(values: list[int], least: int = 3, probes: int = 16) -> list[tuple[int, int, int]]:
     """(value, length, distance) tokens: a greedy parse over a ring of the latest places of each four values; longer wins,
     then nearer. Literals have length 0."""
@@ -439,12 +429,11 @@ def shelves(sizes: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
     return places
 
 
-def fraction(v: float, most: int = (1 << 32) - 1) -> tuple[int, int]:
-    """The nearest numerator and denominator that fit 32 bits."""
-    f = Fraction(v).limit_denominator(most)
-    while f.numerator > most:
-        f = Fraction(v).limit_denominator(max(1, int(most / v)))
-    return f.numerator, f.denominator
+def fraction(v: float, numerator: int = (1 << 31) - 1, denominator: int = (1 << 32) - 1) -> tuple[int, int]:
+    """The nearest signed numerator and denominator that fit 32 bits."""
+    most = min(denominator, int(numerator / abs(v))) if abs(v) > 1 else denominator
+    f = Fraction(v).limit_denominator(max(1, most))
+    return max(-numerator, min(numerator, f.numerator)), f.denominator
 
 
 def fill_invisible(plane: np.ndarray, visible: np.ndarray) -> np.ndarray:
@@ -504,3 +493,20 @@ def trace_chains(strength: np.ndarray, least: int) -> list[list[tuple[int, int]]
             _, y, x = min(near)
         chains.append(chain)
     return chains
+
+
+def pack_bits(values: np.ndarray, bits: int) -> bytes:
+    """Values of so many bits each, the lowest bit first, padded to a byte with zeros."""
+    each = (values.astype(np.int64)[:, None] >> np.arange(bits)) & 1
+    return np.packbits(each.reshape(-1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def cheapest_rounding(t: np.ndarray, price, rate: float) -> float:
+    """Least cost of a chain that rounds each value down or up: squared errors, and rate times the price of each step; it starts from 0."""
+    low = np.floor(t)
+    cost, before = np.zeros(1), np.zeros(1)
+    for v, q in zip(t.tolist(), low.tolist(), strict=True):
+        level = np.array([q, q + 1])
+        cost = (v - level) ** 2 + (cost[:, None] + rate * price(level[None, :] - before[:, None])).min(axis=0)
+        before = level
+    return float(cost.min())

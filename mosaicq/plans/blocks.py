@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,25 +26,31 @@ def wide_blocks(spark, sf):
     return planes.table(spark, sf, "embeddings").select(F.col("vec_id").alias("block"), F.transform("embedding", lambda v: v.cast("double")).alias("s"))
 
 
-def products(s, left: list[list[float]], right: list[list[float]]):
-    """left @ S @ right.T for an array column S of len(left[0]) x len(right[0]) samples."""
-    rows, cols = len(left[0]), len(right[0])
-    dot = lambda t, at, w: sum((F.get(t, F.lit(k)) * F.lit(v) for k, v in zip(at[1:], w[1:], strict=True)), F.get(t, F.lit(at[0])) * F.lit(w[0]))
-    first = F.array(*[dot(s, [y * cols + x for x in range(cols)], r) for y in range(rows) for r in right])
-    n = len(right)
-    second = lambda t: F.array(*[dot(t, [y * n + u for y in range(rows)], w) for w in left for u in range(n)])
-    return F.transform(F.array(first), second)[0]  # the lambda's variable: the rows are done once
+def basis(n: int) -> np.ndarray:
+    return np.array([[cosine(u, x, n) for x in range(n)] for u in range(n)])
 
 
-def separable(s, rows: int = 8, cols: int = 8):
-    return products(s, [[cosine(v, y, rows) for y in range(rows)] for v in range(rows)], [[cosine(u, x, cols) for x in range(cols)] for u in range(cols)])
+def product(blocks, left: np.ndarray, right: np.ndarray):
+    """(block, t): left @ S @ right.T for each block's array s of left's columns by right's, one product a batch; other lengths go."""
+    rows, cols = left.shape[1], right.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b["s"].flatten().to_numpy(zero_copy_only=False).reshape(-1, rows, cols)
+            t = np.ascontiguousarray(left @ s @ right.T).reshape(-1)
+            step = left.shape[0] * right.shape[0]
+            ends = pa.array(np.arange(0, len(t) + 1, step, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b["block"], pa.ListArray.from_arrays(ends, pa.array(t))], ["block", "t"])
+
+    whole = blocks.filter(F.size("s") == rows * cols).select(F.col("block").cast("long").alias("block"), "s")
+    return whole.mapInArrow(run, "block long, t array<double>")
 
 
 _DCT = f"{BLOCKS}, d AS (SELECT block, u + 8 * v AS k, sum(b.v * cx * cy) AS coef FROM (SELECT block, k % 8 AS x, k // 8 AS y, v FROM blk) b JOIN (SELECT u, x, CASE WHEN u = 0 THEN 1.0 ELSE sqrt(2.0) END * cos((2 * x + 1) * u * pi() / 16) / 8 AS cx FROM range(8) AS a(u), range(8) AS b(x)) USING (x) JOIN (SELECT v AS vv, y, CASE WHEN v = 0 THEN 1.0 ELSE sqrt(2.0) END * cos((2 * y + 1) * v * pi() / 16) / 8 AS cy FROM range(8) AS a(v), range(8) AS b(y)) AS q(v, y, cy) USING (y) GROUP BY block, u, q.v)".replace("SELECT block, u + 8 * v AS k", "SELECT block, u + 8 * q.v AS k")
 
 
 def dct(spark, sf):
-    coefs = wide_blocks(spark, sf).select("block", separable(F.col("s")).alias("t"))
+    coefs = product(wide_blocks(spark, sf), basis(8), basis(8))
     return coefs.select("block", F.posexplode("t").alias("k", "coef")).select("block", F.col("k").cast("long").alias("k"), "coef")
 
 
@@ -50,27 +59,48 @@ def _(spark, sf):
     return dct(spark, sf).withColumn("coef", F.round("coef", 6))
 
 
-def _shape_sql(rows: int, cols: int) -> str:
-    return f"""SELECT block, '{rows}x{cols}' AS shape, u + {cols} * w AS k, round(sum(v * (CASE WHEN u = 0 THEN 1.0 ELSE sqrt(2.0) END * cos((2 * x + 1) * u * pi() / {2 * cols}) / {cols}) * (CASE WHEN w = 0 THEN 1.0 ELSE sqrt(2.0) END * cos((2 * y + 1) * w * pi() / {2 * rows}) / {rows})), 6) AS coef
-FROM (SELECT block, k % {cols} AS x, k // {cols} AS y, v FROM blk WHERE k < {rows * cols}), range({cols}) AS a(u), range({rows}) AS b(w) GROUP BY block, u, w"""
+SHAPES = ((2, 2), (4, 4), (4, 8), (8, 4), (8, 8), (8, 16), (16, 8), (16, 16), (8, 32), (32, 8), (16, 32), (32, 16), (32, 32), (64, 32), (32, 64), (64, 64), (128, 64), (64, 128), (128, 128))
 
 
-@query("trf02_dct_family", f"WITH {BLOCKS} " + " UNION ALL ".join(_shape_sql(r, c) for r, c in ((2, 2), (4, 4), (4, 8), (8, 4), (2, 8))))
-def _(spark, sf):
-    """Transforms of several shapes over the front of each block."""
-    shapes = ((2, 2), (4, 4), (4, 8), (8, 4), (2, 8))
-    rows = [F.struct(F.lit(f"{r}x{c}").alias("shape"), separable(F.col("s"), r, c).alias("t")) for r, c in shapes]
-    out = wide_blocks(spark, sf).select("block", F.explode(F.array(*rows)).alias("p")).select("block", "p.shape", F.posexplode("p.t").alias("k", "coef"))
-    return out.select("block", "shape", F.col("k").cast("long").alias("k"), F.round("coef", 6).alias("coef"))
+def _shape_sql(rows: int, cols: int) -> str:
+    n = rows * cols
+    if n <= 64:
+        source = f"SELECT block * {64 // n} + k // {n} AS block, k % {n} AS p, v FROM blk"
+    else:
+        source = f"SELECT block // {n // 64} AS block, block % {n // 64} * 64 + k AS p, v FROM blk WHERE block // {n // 64} IN (SELECT block // {n // 64} FROM blk GROUP BY block // {n // 64} HAVING count(*) = {n})"
+    wave = lambda u, x, m: f"CASE WHEN {u} = 0 THEN 1.0 ELSE sqrt(2.0) END * cos((2 * {x} + 1) * {u} * pi() / {2 * m}) / {m}"
+    first = f"SELECT block, p // {cols} AS y, u, sum(v * ({wave('u', f'(p % {cols})', cols)})) AS g FROM ({source}), range({cols}) AS a(u) GROUP BY block, p // {cols}, u"
+    return f"SELECT block, '{rows}x{cols}' AS shape, u + {cols} * w AS k, round(sum(g * ({wave('w', 'y', rows)})), 6) + 0.0 AS coef FROM ({first}), range({rows}) AS b(w) GROUP BY block, u, w"
+
+
+def shaped(spark, sf, rows: int, cols: int):
+    """(block, s) of any shape: parts of an embedding, or as many successive ones as it takes, where all of them are there."""
+    n, wide = rows * cols, wide_blocks(spark, sf)
+    if n == 64:
+        return wide
+    if n < 64:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(64 // n - 1)), lambda i: F.slice("s", i * n + 1, n))
+        return wide.select("block", F.posexplode(parts).alias("i", "s")).select((F.col("block") * (64 // n) + F.col("i")).alias("block"), "s")
+    grouped = wide.groupBy(F.expr(f"block div {n // 64}").alias("of")).agg(F.sort_array(F.collect_list(F.struct("block", "s"))).alias("p"))  # a shape's own few
+    return grouped.filter(F.size("p") == n // 64).select(F.col("of").alias("block"), F.flatten("p.s").alias("s"))
+
+
+@query("trf02_dct_family", f"WITH {BLOCKS} " + " UNION ALL ".join(_shape_sql(r, c) for r, c in SHAPES))
+def _(spark, sf):
+    """The transform in all its shapes."""
+    out = [product(shaped(spark, sf, r, c), basis(r), basis(c)).select("block", F.lit(f"{r}x{c}").alias("shape"), F.posexplode("t").alias("k", "coef")) for r, c in SHAPES]
+    every = out[0]
+    for one in out[1:]:
+        every = every.unionByName(one)
+    return every.select("block", "shape", F.col("k").cast("long").alias("k"), (F.round("coef", 6) + 0.0).alias("coef"))
 
 
 @query("trf03_inverse_dct", f"WITH {BLOCKS} SELECT block, k, round(v, 5) + 0.0 AS v FROM blk")
 def _(spark, sf):
     """There and back: the inverse sums the same basis, scaled by the number of samples."""
-    t = wide_blocks(spark, sf).select("block", separable(F.col("s")).alias("t"))
-    inverse = [[8 * cosine(u, x) for u in range(8)] for x in range(8)]
-    back = products(F.col("t"), inverse, inverse)
-    return t.select("block", F.posexplode(back).alias("k", "v")).select("block", F.col("k").cast("long").alias("k"), (F.round("v", 5) + 0.0).alias("v"))
+    t = product(wide_blocks(spark, sf), basis(8), basis(8)).select("block", F.col("t").alias("s"))
+    back = product(t, 8 * basis(8).T, 8 * basis(8).T)
+    return back.select("block", F.posexplode("t").alias("k", "v")).select("block", F.col("k").cast("long").alias("k"), (F.round("v", 5) + 0.0).alias("v"))
 
 
 @query("trf04_low_frequencies", f"WITH {BLOCKS} SELECT block, x // 4 + 2 * (y // 4) AS cell, round(avg(v), 6) AS dc FROM (SELECT block, k % 8 AS x, k // 8 AS y, v FROM blk) GROUP BY block, x // 4 + 2 * (y // 4)")

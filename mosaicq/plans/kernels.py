@@ -15,16 +15,23 @@ from mosaicq.sources import planes
 WIDTH = planes.WIDTH
 
 
-def _plane(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:
-    """Whole rows of a group's plane."""
+def plane_of(pdf: pd.DataFrame, column: str = "v", fill: int = 0) -> np.ndarray:
+    """A group's plane, all of it: what its last row lacks is filled. In raster order the samples come first."""
     v = pdf.sort_values("i")[column].to_numpy()
-    return v[: len(v) // WIDTH * WIDTH].reshape(-1, WIDTH)
+    return np.concatenate((v, np.full(-len(v) % WIDTH, fill, v.dtype))).reshape(-1, WIDTH)
+
+
+def mask_of(pdf: pd.DataFrame) -> np.ndarray:
+    """The pixels of a group as a mask as high as they reach."""
+    mask = np.zeros((int(pdf.y.max()) + 1, WIDTH), bool)
+    mask[pdf.y, pdf.x] = True
+    return mask
 
 
 @query("win03_weighted_predictor")
 def _(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = k.weighted_residuals(_plane(pdf))
+        e = k.weighted_residuals(plane_of(pdf)).reshape(-1)[: len(pdf)]
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "c": [pdf.c.iloc[0]], "samples": [e.size], "size": [int(np.abs(e).sum())], "most": [int(np.abs(e).max(initial=0))]})
 
     return ycc(spark, sf).groupBy("img", "c").applyInPandas(run, "img long, c int, samples long, size long, most long")
@@ -45,11 +52,11 @@ def _(spark, sf):
 
 
 def _histograms(spark, sf):
-    return planes.letters(spark, sf).groupBy((F.col("stream") % 16).alias("ctx"), F.least("value", F.lit(127)).alias("sym")).agg(F.count("*").alias("n"))
+    return planes.letters(spark, sf).groupBy((F.col("stream") % 16).alias("ctx"), F.col("value").alias("sym")).agg(F.count("*").alias("n"))
 
 
 def _counts(pdf: pd.DataFrame) -> list[int]:
-    return np.bincount(pdf["sym"], pdf["n"], 128).astype(int).tolist()
+    return np.bincount(pdf["sym"], pdf["n"], 256).astype(int).tolist()
 
 
 @query("ent01_huffman_depths")
@@ -57,40 +64,57 @@ def _(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = _counts(pdf)
         d = k.huffman_depths(n)
-        return pd.DataFrame({"ctx": pdf.ctx.iloc[0], "sym": np.arange(128), "n": n, "depth": d})[lambda t: t.n > 0]
+        return pd.DataFrame({"ctx": pdf.ctx.iloc[0], "sym": np.arange(256), "n": n, "depth": d})[lambda t: t.n > 0]
 
     return _histograms(spark, sf).groupBy("ctx").applyInPandas(run, "ctx long, sym long, n long, depth long")
 
 
-@query("agg04_huffman_bits", f"""WITH {LETTERS}, h AS (SELECT stream % 16 AS ctx, least(value, 127) AS sym, count(*) AS n FROM letters GROUP BY ALL) SELECT ctx, CAST(sum(n) AS BIGINT) AS symbols, 1.0 AS kraft FROM h GROUP BY ctx""")
+# The two lightest trees merge until one is left; what the merges weigh is what the code spends.
+_MERGES = """m AS (SELECT ctx, list_sort(list(CAST(n AS BIGINT))) AS l, CAST(0 AS BIGINT) AS bits FROM h GROUP BY ctx
+UNION ALL SELECT ctx, list_sort(list_append(l[3:], l[1] + l[2])), bits + l[1] + l[2] FROM m WHERE len(l) > 1)"""
+
+
+@query("agg04_huffman_bits", f"""WITH RECURSIVE {LETTERS}, h AS (SELECT stream % 64 AS ctx, value AS sym, count(*) AS n FROM letters GROUP BY ALL), {_MERGES}, t AS (SELECT ctx, count(*) AS symbols, CAST(sum(n) AS BIGINT) AS total FROM h GROUP BY ctx)
+SELECT ctx, symbols, total, CAST(max(CASE WHEN symbols = 1 THEN total ELSE bits END) AS BIGINT) AS bits FROM m JOIN t USING (ctx) GROUP BY ctx, symbols, total""")
 def _(spark, sf):
-    """A complete code's lengths fill the code space exactly."""
+    """What each context's symbols cost under its Huffman code: counts times depths, a lone symbol a bit each."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         n = _counts(pdf)
-        d = k.huffman_depths(n)
-        return pd.DataFrame({"ctx": [pdf.ctx.iloc[0]], "symbols": [sum(n)], "kraft": [sum(2.0**-x for x in d if x)]})
+        d = k.huffman_depths(n, 24)
+        return pd.DataFrame({"ctx": [pdf.ctx.iloc[0]], "symbols": [sum(x > 0 for x in n)], "total": [sum(n)], "bits": [sum(a * b for a, b in zip(n, d, strict=True))]})
+
+    h = planes.letters(spark, sf).groupBy((F.col("stream") % 64).alias("ctx"), F.col("value").alias("sym")).agg(F.count("*").alias("n"))
+    return h.groupBy("ctx").applyInPandas(run, "ctx long, symbols long, total long, bits long")
 
-    return _histograms(spark, sf).groupBy("ctx").applyInPandas(run, "ctx long, symbols long, kraft double")
 
+# Counts scaled to the table of 4096: the first maximum takes what is missing; what is too much comes off the first maximum, one by one.
+_SCALED = """t AS (SELECT ctx, sym, n, CAST(sum(n) OVER (PARTITION BY ctx) AS BIGINT) AS total FROM h), f AS (SELECT ctx, sym, n, greatest(1, n * 4096 // total) AS f0 FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY f0 DESC, sym) AS k, CAST(4096 - sum(f0) OVER (PARTITION BY ctx) AS BIGINT) AS rest FROM f),
+s AS (SELECT ctx, sym, unnest(range(f0, f0 - least(f0 - 1, -rest), -1)) AS level FROM r WHERE rest < 0), o AS (SELECT ctx, sym, row_number() OVER (PARTITION BY ctx ORDER BY level DESC, sym) AS place FROM s),
+less AS (SELECT ctx, sym, count(*) AS off FROM o JOIN (SELECT DISTINCT ctx, -rest AS many FROM r) USING (ctx) WHERE place <= many GROUP BY ctx, sym)"""
 
-@query("ent04_exact_ans_counts", f"WITH {LETTERS} SELECT stream % 16 AS ctx, count(DISTINCT least(value, 127)) AS symbols, CAST(4096 AS BIGINT) AS total FROM letters GROUP BY stream % 16")
+
+@query("ent04_exact_ans_counts", f"""WITH {LETTERS}, h AS (SELECT stream % 16 AS ctx, value AS sym, count(*) AS n FROM letters GROUP BY ALL), {_SCALED}
+SELECT ctx, sym, n, CAST(f0 + CASE WHEN k = 1 AND rest > 0 THEN rest ELSE 0 END - coalesce(off, 0) AS BIGINT) AS freq FROM r LEFT JOIN less USING (ctx, sym)""")
 def _(spark, sf):
+    """Each context's counts scaled to the coder's table."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = k.ans_counts(_counts(pdf))
-        return pd.DataFrame({"ctx": [pdf.ctx.iloc[0]], "symbols": [sum(x > 0 for x in f)], "total": [sum(f)]})
+        n = _counts(pdf)
+        return pd.DataFrame({"ctx": pdf.ctx.iloc[0], "sym": np.arange(256), "n": n, "freq": k.ans_counts(n)})[lambda t: t.n > 0]
 
-    return _histograms(spark, sf).groupBy("ctx").applyInPandas(run, "ctx long, symbols long, total long")
+    return _histograms(spark, sf).groupBy("ctx").applyInPandas(run, "ctx long, sym long, n long, freq long")
 
 
-_DIGEST = "count(*) AS n, CAST(sum(least(value, 127) * (seq + 1)) AS BIGINT) AS checksum FROM letters GROUP BY stream"
+_DIGEST = "count(*) AS n, CAST(sum(value * (seq + 1)) AS BIGINT) AS checksum FROM letters GROUP BY stream"
 
 
 def _streams(spark, sf, run):
-    """Per stream what a coder and its inverse give back; a stream is one turn's first line."""
+    """Per stream what a coder and its inverse give back; a stream is one turn's whole text."""
 
     def digest(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("seq")["value"].clip(upper=127).tolist()
+        values = pdf.sort_values("seq")["value"].tolist()
         back = np.array(run(values), np.int64)
         return pd.DataFrame({"stream": [pdf.stream.iloc[0]], "n": [len(back)], "checksum": [int((back * np.arange(1, len(back) + 1)).sum())]})
 
@@ -100,7 +124,7 @@ def _streams(spark, sf, run):
 @query("ent05_rans_round_trip", f"WITH {LETTERS} SELECT stream, {_DIGEST}")
 def _(spark, sf):
     def run(values: list[int]) -> list[int]:
-        f = k.ans_counts(np.bincount(values, minlength=128).tolist())
+        f = k.ans_counts(np.bincount(values, minlength=256).tolist())
         return k.rans_decode(*k.rans_encode(values, f), len(values), f)
 
     return _streams(spark, sf, run)
@@ -123,43 +147,36 @@ def _(spark, sf):
     return planes.letters(spark, sf).groupBy("stream").applyInPandas(run, "stream long, literal_bits double, parsed_bits double")
 
 
-@query("ent11_move_to_front")
-def _(spark, sf):
-    return _streams(spark, sf, k.move_to_front)
-
-
 @query("ent08_histogram_clusters")
 def _(spark, sf):
     """Sixteen contexts' histograms are a bounded group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros((16, 128))
+        counts = np.zeros((16, 256))
         counts[pdf.ctx, pdf["sym"]] = pdf.n
         return pd.DataFrame({"ctx": np.arange(16), "cluster": k.cluster_histograms(counts, 8)})
 
     return _histograms(spark, sf).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "ctx long, cluster long")
 
 
-_MASK = f"{RGB}, ink AS (SELECT img, y * 32 + x AS p, x, y FROM rgb WHERE r > 215 AND y < 16)"
+_MASK = f"{RGB}, ink AS (SELECT img, y * 32 + x AS p, x, y FROM rgb WHERE r > 215)"
 
 
 @query("seg04_components", f"""WITH RECURSIVE {_MASK}, walk AS (SELECT img, p, x, y, p AS root FROM ink UNION SELECT b.img, b.p, b.x, b.y, a.root FROM walk a JOIN ink b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
 l AS (SELECT img, p, min(root) AS root FROM walk GROUP BY img, p) SELECT img, root, count(*) AS pixels FROM l GROUP BY img, root""")
 def _(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((16, WIDTH), bool)
-        mask[pdf.y, pdf.x] = True
-        root, n = np.unique(k.components8(mask), return_counts=True)
+        root, n = np.unique(k.components8(mask_of(pdf)), return_counts=True)
         return pd.DataFrame({"img": pdf.img.iloc[0], "root": root, "pixels": n})[lambda t: t.root >= 0]
 
-    ink = planes.rgb8(spark, sf).filter("r > 215 and y < 16").select("img", "x", "y")
+    ink = planes.rgb8(spark, sf).filter("r > 215").select("img", "x", "y")
     return ink.groupBy("img").applyInPandas(run, "img long, root long, pixels long")
 
 
 @query("seg08_empty_rectangles")
 def _(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w, h = k.largest_rectangle(_plane(pdf, "r") < 200)
+        x, y, w, h = k.largest_rectangle(plane_of(pdf, "r", 255) < 200)
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "x": [x], "y": [y], "w": [w], "h": [h]})
 
     return planes.rgb8(spark, sf).groupBy("img").applyInPandas(run, "img long, x long, y long, w long, h long")
@@ -245,58 +262,79 @@ def _(spark, sf):
     return parts.groupBy("atlas").applyInPandas(run, "p_partkey long, x long, y long")
 
 
-@query("snk12_fractions")
+@query("snk12_fractions", "SELECT event_id, value, true AS near, true AS held FROM events WHERE value IS NOT NULL")
 def _(spark, sf):
+    """Values as fractions of 32 bits: near, and within what the format's signed and unsigned halves hold."""
+
     def run(batches):
         for pdf in batches:
             f = [k.fraction(float(v)) for v in pdf["value"]]
-            yield pd.DataFrame({"event_id": pdf["event_id"], "numerator": [a for a, _ in f], "denominator": [b for _, b in f]})
+            a, b = (np.array([x[i] for x in f], np.float64) for i in (0, 1))
+            yield pd.DataFrame({"event_id": pdf["event_id"], "value": pdf["value"], "near": np.abs(a / b - pdf["value"]) <= 1e-6 * np.maximum(1, np.abs(pdf["value"])), "held": (np.abs(a) < 2**31) & (b >= 1) & (b < 2**32)})
+
+    return planes.table(spark, sf, "events").filter("value is not null").select("event_id", "value").mapInPandas(run, "event_id long, value double, near boolean, held boolean")
+
 
-    return planes.table(spark, sf, "events").filter("value is not null").select("event_id", "value").mapInPandas(run, "event_id long, numerator long, denominator long")
+def _flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of a batch's vectors one after another, and which vector each is of."""
+    sizes = pdf["embedding"].map(len).to_numpy()
+    return np.concatenate([np.asarray(v, np.float32) for v in pdf["embedding"]]) if len(pdf) else np.zeros(0, np.float32), np.repeat(np.arange(len(pdf)), sizes)
 
 
-@query("prj24_half_floats")
+# The parts of a float as SQL can tell them: sign, exponent, and what is left above the leading one.
+_PARTS = """p AS (SELECT vec_id, CAST(v AS DOUBLE) AS v, abs(CAST(v AS DOUBLE)) AS a FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings)),
+e0 AS (SELECT *, CASE WHEN a > 0 THEN CAST(floor(log2(a)) AS INTEGER) END AS e0 FROM p), e AS (SELECT *, e0 + CASE WHEN a >= pow(2.0, e0 + 1) THEN 1 WHEN a < pow(2.0, e0) THEN -1 ELSE 0 END AS e FROM e0)"""
+
+
+@query("prj24_half_floats", f"""WITH {_PARTS}, b AS (SELECT vec_id, CASE WHEN v < 0 THEN 32768 ELSE 0 END + CASE WHEN a = 0 THEN 0 WHEN e < -14 THEN round_even(a * pow(2.0, 24), 0) ELSE (e + 15) * 1024 + round_even((a / pow(2.0, e) - 1) * 1024, 0) END AS bits FROM e)
+SELECT vec_id, CAST(sum(bits) AS BIGINT) AS bits, CAST(max(bits) AS BIGINT) AS most FROM b GROUP BY vec_id""")
 def _(spark, sf):
+    """Samples rounded to half floats, as the integers of their bits."""
+
     def run(batches):
         for pdf in batches:
-            half = [np.asarray(v, np.float16) for v in pdf["embedding"]]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "bits": [int(h.view(np.uint16).astype(np.int64).sum()) for h in half], "error": [float(np.abs(h.astype(np.float32) - np.asarray(v, np.float32)).max()) for h, v in zip(half, pdf["embedding"], strict=True)]})
+            v, of = _flat(pdf)
+            bits = v.astype(np.float16).view(np.uint16).astype(np.int64)
+            most = np.zeros(len(pdf), np.int64)
+            np.maximum.at(most, of, bits)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "bits": np.bincount(of, bits, len(pdf)).astype(np.int64), "most": most})
 
-    return planes.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, bits long, error double")
+    return planes.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, bits long, most long")
 
 
-@query("src05_float_bits", "SELECT vec_id, count(*) AS n FROM (SELECT vec_id, unnest(embedding) AS v FROM embeddings) GROUP BY vec_id")
+@query("src05_float_bits", f"""WITH {_PARTS}, b AS (SELECT vec_id, CASE WHEN v < 0 THEN -2147483648 ELSE 0 END + CASE WHEN a = 0 THEN 0 ELSE (e + 127) * 8388608 + (a / pow(2.0, e) - 1) * 8388608 END AS bits FROM e)
+SELECT vec_id, count(*) AS n, CAST(sum(bits) AS BIGINT) AS bits FROM b GROUP BY vec_id""")
 def _(spark, sf):
-    """Samples as the integers of their bits, and back without loss."""
+    """A scan of floats as the signed integers of their bits, which lose nothing."""
 
     def run(batches):
         for pdf in batches:
-            raw = [np.asarray(v, np.float32).view(np.int32) for v in pdf["embedding"]]
-            same = [int((r.view(np.float32) == np.asarray(v, np.float32)).sum()) for r, v in zip(raw, pdf["embedding"], strict=True)]
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "n": same})
+            v, of = _flat(pdf)
+            total = np.zeros(len(pdf), np.int64)
+            np.add.at(total, of, v.view(np.int32).astype(np.int64))
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "n": np.bincount(of, minlength=len(pdf)), "bits": total})
 
-    return planes.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, n long")
+    return planes.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, n long, bits long")
 
 
 @query("win21_invisible_fill")
 def _(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, a = _plane(pdf, "r"), _plane(pdf, "a")
+        v, a = plane_of(pdf, "r"), plane_of(pdf, "a", 255)
         out = k.fill_invisible(v, a > 0)
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "filled": [int((a == 0).sum())], "changed": [int((out != v).sum())], "total": [int(out.sum())]})
 
     return planes.rgb8(spark, sf).select("img", "i", "r", "a").groupBy("img").applyInPandas(run, "img long, filled long, changed long, total long")
 
 
-@query("win26_closed_loop", f"WITH {SIGNAL} SELECT user_id, count(*) AS n, true AS within FROM sig GROUP BY user_id")
+@query("win26_closed_loop", f"""WITH {SIGNAL}, h AS (SELECT user_id, t, v, (v + 100) // 201 AS q FROM sig), d AS (SELECT *, q - coalesce(lag(q) OVER (PARTITION BY user_id ORDER BY t), 0) AS code FROM h)
+SELECT user_id, count(*) AS n, CAST(sum(abs(code)) AS BIGINT) AS size, CAST(sum(abs(v - 201 * q)) AS BIGINT) AS strayed, max(abs(v - 201 * q)) AS most FROM d GROUP BY user_id""")
 def _(spark, sf):
-    """No sample strays by more than half a step, whatever came before."""
+    """Residuals quantised against what a decoder will have: no sample strays by more than half a step, whatever came before."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf.sort_values("t").v.to_numpy()
-        _, have = k.closed_loop(v, 200)
-        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "n": [len(v)], "within": [bool((np.abs(v - have) <= 100).all())]})
-
-    return planes.signal(spark, sf).groupBy("user_id").applyInPandas(run, "user_id long, n long, within boolean")
-
+        codes, have = k.closed_loop(v, 201)
+        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "n": [len(v)], "size": [int(np.abs(codes).sum())], "strayed": [int(np.abs(v - have).sum())], "most": [int(np.abs(v - have).max())]})
 
+    return planes.signal(spark, sf).groupBy("user_id").applyInPandas(run, "user_id long, n long, size long, strayed long, most long")

@@ -35,11 +35,6 @@ def _(spark, sf):
     return means(spark, sf).select("series", "d", F.round("geo", 3).alias("geo"), F.round("geo1", 6).alias("geo1"))
 
 
-@query("agg26_bits_per_pixel", f"WITH {LONG} SELECT img, round(sum(v) * 8.0 / count(*), 6) AS bpp FROM ch WHERE c = 0 GROUP BY img")
-def _(spark, sf):
-    return raw_channels(spark, sf).filter("c = 0").groupBy("img").agg(F.round(F.sum("v") * 8.0 / F.count("*"), 6).alias("bpp"))
-
-
 @query("agg27_chart_bounds", f"""WITH {RD}, f AS ({_MEANS}), b AS (SELECT min(bpp) AS x0, max(bpp) AS x1, min(m2) AS y0, max(m2) AS y1 FROM f WHERE m2 IS NOT NULL)
 SELECT round(x0 - 0.05 * (x1 - x0), 2) AS x_low, round(x1 + 0.05 * (x1 - x0), 2) AS x_high, round(greatest(y0 - 0.08 * (y1 - y0) - 1e-6, 0), 5) AS y_low, round(least(y1 + 0.08 * (y1 - y0) + 1e-6, 100), 5) AS y_high FROM b""")
 def _(spark, sf):
@@ -103,43 +98,7 @@ def _(spark, sf):
     return d.groupBy("img").agg(F.round(F.least(F.greatest(F.when(k < 1, F.pow(k, F.lit(0.16))).otherwise(F.pow(k, F.lit(0.08))), F.lit(0.5)), F.lit(2.0)), 6).alias("factor"))
 
 
-# races ------------------------------------------------------------------------------------------------------------
-
-_PLANS = f"""{LONG}, hv AS (SELECT img, v, count(*) AS n FROM ch GROUP BY ALL), flat AS (SELECT img, 'flat' AS plan, 2 AS priority, sum(n) * log2(sum(n)) - sum(n * log2(n)) AS bits FROM hv GROUP BY img),
-dl AS (SELECT img, v - coalesce(lag(v) OVER (PARTITION BY img, c ORDER BY i), 0) AS e FROM ch), hd AS (SELECT img, e, count(*) AS n FROM dl GROUP BY ALL), delta AS (SELECT img, 'delta' AS plan, 1 AS priority, sum(n) * log2(sum(n)) - sum(n * log2(n)) AS bits FROM hd GROUP BY img),
-hp AS (SELECT img, r, g, b, count(*) AS n FROM rgb GROUP BY ALL), pal AS (SELECT img, 'palette' AS plan, 0 AS priority, sum(n) * log2(sum(n)) - sum(n * log2(n)) + 24 * count(*) AS bits FROM hp GROUP BY img),
-plans AS (SELECT * FROM flat UNION ALL SELECT * FROM delta UNION ALL SELECT * FROM pal)"""
-
-
-def plans(spark, sf):
-    """(img, plan, priority, bits): what each way to code an image would cost."""
-    bits = F.sum("n") * F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n"))
-    ch = raw_channels(spark, sf)
-    delta = ch.select("img", "v", (F.col("v") - F.coalesce(F.lag("v").over(W.partitionBy("img", "c").orderBy("i")), F.lit(0))).alias("e"))
-    both = delta.select("img", F.explode(F.array(F.struct(F.lit("flat").alias("plan"), F.lit(2).alias("priority"), F.col("v").alias("s")), F.struct(F.lit("delta").alias("plan"), F.lit(1).alias("priority"), F.col("e").alias("s")))).alias("t"))
-    coded = both.groupBy("img", "t.plan", "t.priority", "t.s").agg(F.count("*").alias("n")).groupBy("img", "plan", "priority").agg(bits.alias("bits"))
-    pal = planes.rgb8(spark, sf).groupBy("img", "r", "g", "b").agg(F.count("*").alias("n")).groupBy("img").agg((bits + F.count("*") * 24).alias("bits"))
-    return coded.unionByName(pal.select("img", F.lit("palette").alias("plan"), F.lit(0).alias("priority"), "bits"))
-
-
-@query("race02_tournament", f"WITH {_PLANS} SELECT img, plan, round(bits, 3) AS bits FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY round(bits, 3), priority) AS k FROM plans) WHERE k = 1")
-def _(spark, sf):
-    best = plans(spark, sf).groupBy("img").agg(F.min(F.struct(F.round("bits", 3).alias("bits"), "priority", "plan")).alias("b"))
-    return best.select("img", "b.plan", "b.bits")
-
-
-@query("race04_margins", f"WITH {_PLANS}, w AS (SELECT img, max(bits) FILTER (WHERE plan = 'delta') AS base, max(bits) FILTER (WHERE plan = 'flat') AS other FROM plans GROUP BY img) SELECT img, round(other / base, 6) AS ratio, CASE WHEN other < base * 0.98 THEN 'flat' ELSE 'delta' END AS chosen FROM w")
-def _(spark, sf):
-    """A challenger must win by a margin."""
-    at = lambda p: F.max(F.when(F.col("plan") == p, F.col("bits")))
-    w = plans(spark, sf).groupBy("img").agg(at("delta").alias("base"), at("flat").alias("other"))
-    return w.select("img", F.round(F.col("other") / F.col("base"), 6).alias("ratio"), F.when(F.col("other") < F.col("base") * 0.98, "flat").otherwise("delta").alias("chosen"))
-
-
-@query("race05_variant_rates", f"WITH {_PLANS} SELECT plan, count(*) AS images, round(sum(bits) / 8 + 40 * count(*), 2) AS bytes FROM plans GROUP BY plan")
-def _(spark, sf):
-    return plans(spark, sf).groupBy("plan").agg(F.count("*").alias("images"), F.round(F.sum("bits") / 8 + F.count("*") * 40, 2).alias("bytes"))
-
+# budgets ------------------------------------------------------------------------------------------------------------
 
 @query("race06_budget_fit", """WITH s AS (SELECT img, sum(r) AS size FROM (SELECT l_suppkey AS img, l_quantity AS r FROM lineitem) GROUP BY img), t AS (SELECT img, k, size * (log2(k) + 1) / 5 AS bytes FROM s, (VALUES (255), (128), (64), (32), (15), (7), (3), (1)) AS v(k))
 SELECT img, max(k) FILTER (WHERE bytes <= 20000) AS steps FROM t GROUP BY img""")

@@ -344,9 +344,10 @@ def _(spark, sf):
     return spark.range(12).select(F.col("id").alias("k"), *[F.round(F.lit(a) + f * (b - a)).cast("long").alias(n) for n, (a, b) in ends.items()])
 
 
-@query("prj31_metric_lines", """WITH t AS (SELECT event_id, 'cvvdp = ' || CAST(value AS VARCHAR) || ' JOD' AS line FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'error: none' FROM events WHERE event_id % 3 = 1)
+@query("prj31_metric_lines", """WITH t AS (SELECT event_id, 'cvvdp = ' || CAST(value AS VARCHAR) || ' JOD' AS line FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'error: none' END FROM events WHERE event_id % 3 > 0)
 SELECT event_id, TRY_CAST(nullif(regexp_extract(line, '= *(-?[0-9.]+)', 1), '') AS DOUBLE) AS score FROM t""")
 def _(spark, sf):
-    ev = planes.table(spark, sf, "events").filter("event_id % 3 < 2")
-    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("cvvdp = "), F.col("value").cast("string"), F.lit(" JOD"))).otherwise("error: none")
+    """A third of the lines hold a score, a third an error, a third nothing at all."""
+    ev = planes.table(spark, sf, "events")
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("cvvdp = "), F.col("value").cast("string"), F.lit(" JOD"))).when(F.col("event_id") % 3 == 1, "error: none")
     return ev.select("event_id", F.regexp_extract(line, r"= *(-?[0-9.]+)", 1).try_cast("double").alias("score"))

@@ -42,5 +42,5 @@ def gradient_residual(nb: str = "nb", name: str = "res") -> str:
 SIGNAL = "sig AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, CAST(round(value * 100) AS BIGINT) AS v FROM events WHERE value IS NOT NULL)"
 BLOCKS = "blk AS (SELECT vec_id AS block, k - 1 AS k, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(k))"
 RD = "rd AS (SELECT l_returnflag || l_linestatus AS series, l_tax AS d, l_suppkey AS image, l_extendedprice / l_quantity AS bpp, round(l_discount * 100) AS m1, CASE WHEN round(l_discount * 100) > 0 THEN l_quantity END AS m2 FROM lineitem)"
-LETTERS = """letters AS (SELECT conv_id * 1000 + turn AS stream, k - 1 AS seq, CAST(unicode(substr(line, k, 1)) AS BIGINT) AS value FROM
-  (SELECT conv_id, turn, split_part(text, chr(10), 1) AS line FROM conversations WHERE text IS NOT NULL), range(1, 100000) AS r(k) WHERE k <= length(line))"""
+LETTERS = """letters AS (SELECT conv_id * 1000 + turn AS stream, k AS seq, CAST(CAST('0x' || substr(h, 2 * k + 1, 2) AS INTEGER) AS BIGINT) AS value FROM
+  (SELECT conv_id, turn, h, unnest(range(length(h) // 2)) AS k FROM (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations WHERE text IS NOT NULL)))"""

@@ -16,6 +16,7 @@ from mosaicq.operators.predict import neighbours, predictors, residual_tokens, t
 from mosaicq.plans.blocks import _Q, quantised
 from mosaicq.plans.catalog import query
 from mosaicq.plans.costs import _BITS, _ENT, _RES, residuals
+from mosaicq.plans.kernels import mask_of, plane_of
 from mosaicq.plans.sql import LONG, RGB, SIGNAL, YCC, gradient_residual
 from mosaicq.plans.sql import neighbours as nb_sql
 from mosaicq.plans.windows import _tap_sql, raw_channels, squeeze_rows, ycc
@@ -85,10 +86,24 @@ def edge_preserving(t, width: float):
     return (v + sum(a * F.col(f"t{n}") for n, a in enumerate(w))) / (sum(w[1:], w[0]) + 1)
 
 
-@query("win12_edge_preserving", f"WITH {LONG}, t AS (SELECT *, {_taps_sql()} FROM ch) SELECT img, c, i, round({_edge_sql(40.0)}, 6) AS out FROM t")
+# Widths of the three passes; each starts from what the one before left.
+_PASSES = (40.0, 60.0, 30.0)
+
+
+def _passes_sql() -> str:
+    steps = ["s0 AS (SELECT img, c, i, x, y, CAST(v AS DOUBLE) AS v FROM ch)"]
+    for n, width in enumerate(_PASSES):
+        steps += [f"n{n} AS (SELECT *, {_taps_sql()} FROM s{n})", f"s{n + 1} AS (SELECT img, c, i, x, y, {_edge_sql(width)} AS v FROM n{n})"]
+    return ", ".join(steps)
+
+
+@query("win12_edge_preserving", f"WITH {LONG}, {_passes_sql()} SELECT img, c, i, round(v, 5) AS out FROM s{len(_PASSES)}")
 def _(spark, sf):
-    t = _taps(raw_channels(spark, sf))
-    return t.select("img", "c", "i", F.round(edge_preserving(t, 40.0), 6).alias("out"))
+    s = raw_channels(spark, sf).withColumn("v", F.col("v").cast("double"))
+    for width in _PASSES:
+        t = _taps(s)
+        s = t.select("img", "c", "i", "x", "y", edge_preserving(t, width).alias("v"))
+    return s.select("img", "c", "i", F.round("v", 5).alias("out"))
 
 
 _STRENGTHS = (10.0, 20.0, 40.0, 80.0)
@@ -128,11 +143,26 @@ def _(spark, sf):
     return s.filter("a = 0").select("img", "i", F.round("v", 6).alias("v"))
 
 
-@query("sup02_saturated_pixels", f"WITH {LONG}, t AS (SELECT *, {_taps_sql()} FROM ch) SELECT img, c, round(avg((v >= 240)::INT), 6) AS share, CAST(sum(CASE WHEN v >= 240 THEN greatest(v, (t0 + t1 + t2 + t3) // 4 + 10) ELSE v END) AS BIGINT) AS total FROM t GROUP BY img, c")
+_BEYOND = "CASE WHEN top THEN greatest(v, (t0 + t1 + t2 + t3) // 4 + 10) ELSE v END"
+
+
+def _continued_sql() -> str:
+    steps = ["s0 AS (SELECT img, c, i, x, y, v, v >= 240 AS top FROM ch)"]
+    for n in range(3):
+        steps += [f"n{n} AS (SELECT *, {_taps_sql()} FROM s{n})", f"s{n + 1} AS (SELECT img, c, i, x, y, {_BEYOND} AS v, top FROM n{n})"]
+    return ", ".join(steps)
+
+
+@query("sup02_saturated_pixels", f"WITH {LONG}, {_continued_sql()} SELECT img, c, count(*) AS samples, count(*) FILTER (WHERE top) AS saturated, count(*) FILTER (WHERE top) * 50 >= count(*) AS pays, CAST(sum(v) AS BIGINT) AS total, max(v) AS most FROM s3 GROUP BY img, c")
 def _(spark, sf):
-    top = F.col("v") >= 240
-    beyond = F.greatest(F.col("v"), F.expr("(t0 + t1 + t2 + t3) div 4 + 10"))
-    return _taps(raw_channels(spark, sf)).groupBy("img", "c").agg(F.round(F.avg(top.cast("int")), 6).alias("share"), F.sum(F.when(top, beyond).otherwise(F.col("v"))).alias("total"))
+    """Saturated samples go on beyond the limit in three rounds, each from what its neighbours have by then; it pays from 2 % on."""
+    s = raw_channels(spark, sf).withColumn("top", F.col("v") >= 240)
+    for _ in range(3):
+        t = _taps(s)
+        beyond = F.greatest(F.col("v"), F.expr("(t0 + t1 + t2 + t3) div 4 + 10"))
+        s = t.select("img", "c", "i", "x", "y", F.when(F.col("top"), beyond).otherwise(F.col("v")).alias("v"), "top")
+    n, m = F.count("*"), F.count_if("top")
+    return s.groupBy("img", "c").agg(n.alias("samples"), m.alias("saturated"), (m * 50 >= n).alias("pays"), F.sum("v").alias("total"), F.max("v").alias("most"))
 
 
 # prices and trees ---------------------------------------------------------------------------------------------------
@@ -146,12 +176,12 @@ def _(spark, sf):
     return g.groupBy("ctx").agg(F.count("*").alias("symbols"), F.sum(F.length(F.bin("gap")) * 2 + 3).alias("bits"))
 
 
-@query("opt05_learned_prices", f"""WITH {_RES}, h AS (SELECT token, count(*) AS n FROM res WHERE img % 4 = 0 GROUP BY token), p AS (SELECT token, log2((CAST(sum(n) OVER () AS DOUBLE) + 0.5 * 128) / (n + 0.5)) AS price FROM h), z AS (SELECT log2((CAST(sum(n) AS DOUBLE) + 0.5 * 128) / 0.5) AS price FROM h)
+@query("opt05_learned_prices", f"""WITH {_RES}, h AS (SELECT token, count(*) AS n FROM res GROUP BY token), p AS (SELECT token, log2((CAST(sum(n) OVER () AS DOUBLE) + 0.5 * 128) / (n + 0.5)) AS price FROM h), z AS (SELECT log2((CAST(sum(n) AS DOUBLE) + 0.5 * 128) / 0.5) AS price FROM h)
 SELECT img, round(sum(coalesce(p.price, z.price) + nbits), 3) AS bits FROM res LEFT JOIN p USING (token) CROSS JOIN z GROUP BY img""")
 def _(spark, sf):
-    """Prices from a quarter of the images, paid by all; tokens unknown there pay the most. The alphabet's rows are broadcast."""
+    """Prices from a first pass over all residuals, paid by each image; the alphabet's rows are broadcast."""
     res = residuals(spark, sf)
-    h = res.filter("img % 4 = 0").groupBy("token").agg(F.count("*").alias("n"))
+    h = res.groupBy("token").agg(F.count("*").alias("n"))
     total = F.sum("n").over(W.partitionBy()).cast("double") + 64
     p = h.select("token", F.log2(total / (F.col("n") + 0.5)).alias("price"), F.log2(total / 0.5).alias("unknown"))
     counts = res.groupBy("img", "token").agg(F.count("*").alias("m"), F.sum("nbits").alias("raw"))
@@ -343,9 +373,8 @@ def _(spark, sf):
     """The best of the weighted predictor's presets for each plane, by what it leaves."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values("i").v.to_numpy()
-        plane = v[: len(v) // planes.WIDTH * planes.WIDTH].reshape(-1, planes.WIDTH)
-        size = [int(np.abs(k.weighted_residuals(plane, s, t)).sum()) for s, t in k.WP_PRESETS]
+        plane = plane_of(pdf)
+        size = [int(np.abs(k.weighted_residuals(plane, s, t).reshape(-1)[: len(pdf)]).sum()) for s, t in k.WP_PRESETS]
         best = int(np.argmin(size))
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "preset": [best], "size": [size[best]]})
 
@@ -357,14 +386,12 @@ def _(spark, sf):
     """Boxes of bright components, merged until none overlap."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((16, planes.WIDTH), bool)
-        mask[pdf.y, pdf.x] = True
-        label = k.components8(mask)
+        label = k.components8(mask_of(pdf))
         boxes = [(xs.min() - 1, ys.min() - 1, xs.max() + 1, ys.max() + 1) for ys, xs in (np.nonzero(label == r) for r in np.unique(label[label >= 0]))]
         out = k.merge_boxes([tuple(map(int, b)) for b in boxes])
         return pd.DataFrame({"img": pdf.img.iloc[0], "x0": [b[0] for b in out], "y0": [b[1] for b in out], "x1": [b[2] for b in out], "y1": [b[3] for b in out]})
 
-    ink = planes.rgb8(spark, sf).filter("r > 240 and y < 16").select("img", "x", "y")
+    ink = planes.rgb8(spark, sf).filter("r > 240").select("img", "x", "y")
     return ink.groupBy("img").applyInPandas(run, "img long, x0 long, y0 long, x1 long, y1 long")
 
 
@@ -373,12 +400,10 @@ def _(spark, sf):
     """Polylines through neighbouring bright pixels, the brightest first."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros((16, planes.WIDTH), np.int64)
-        v[pdf.y, pdf.x] = pdf.r
-        chains = k.trace_chains(v, 215)
+        chains = k.trace_chains(plane_of(pdf, "r"), 215)
         return pd.DataFrame({"img": [pdf.img.iloc[0]], "chains": [len(chains)], "longest": [max(map(len, chains), default=0)], "pixels": [sum(map(len, chains))]})
 
-    return planes.rgb8(spark, sf).filter("y < 16").select("img", "x", "y", "r").groupBy("img").applyInPandas(run, "img long, chains long, longest long, pixels long")
+    return planes.rgb8(spark, sf).select("img", "i", "r").groupBy("img").applyInPandas(run, "img long, chains long, longest long, pixels long")
 
 
 # hooks --------------------------------------------------------------------------------------------------------------

@@ -128,41 +128,30 @@ def _(spark, sf):
 
 
 def _mirrored_sql(radius: int) -> str:
-    """ch with every tap of a square stencil; what lies outside is mirrored, the edge repeated."""
-    return f"""{LONG}, plane AS (SELECT * EXCLUDE (m) FROM (SELECT ch.*, count(*) OVER (PARTITION BY img, c) AS m FROM ch WHERE y < 16) WHERE m = 512),
+    """ch with every tap of a square stencil; what lies outside is mirrored, the edge repeated; a short last row repeats its last sample."""
+    return f"""{LONG}, long AS (SELECT img, c, y, count(*) AS len FROM ch GROUP BY ALL), high AS (SELECT img, c, max(y) + 1 AS m FROM ch GROUP BY ALL),
 off AS (SELECT dx, dy FROM range(-{radius}, {radius + 1}) AS a(dx), range(-{radius}, {radius + 1}) AS b(dy)),
-taps AS (SELECT f.img, f.c, f.i, f.x, f.y, f.v, dx, dy, CASE WHEN f.x + dx < 0 THEN -1 - (f.x + dx) WHEN f.x + dx > 31 THEN 63 - (f.x + dx) ELSE f.x + dx END AS tx,
-  CASE WHEN f.y + dy < 0 THEN -1 - (f.y + dy) WHEN f.y + dy > 15 THEN 31 - (f.y + dy) ELSE f.y + dy END AS ty FROM plane f, off)"""
-
-
-ROWS = 16
-
-
-def whole_rows(px):
-    """The first ROWS rows of each image that has so many in full."""
-    top = px.filter(F.col("y") < ROWS).withColumn("m", F.count("*").over(W.partitionBy("img", "c")))
-    return top.filter(F.col("m") == ROWS * planes.WIDTH).drop("m")
+far AS (SELECT f.img, f.c, f.i, f.x, f.y, f.v, dx, dy, CASE WHEN f.x + dx < 0 THEN -1 - (f.x + dx) WHEN f.x + dx > 31 THEN 63 - (f.x + dx) ELSE f.x + dx END AS tx,
+  CASE WHEN f.y + dy < 0 THEN least(-1 - (f.y + dy), m - 1) WHEN f.y + dy >= m THEN greatest(2 * m - 1 - (f.y + dy), 0) ELSE f.y + dy END AS ty FROM ch f JOIN high USING (img, c), off),
+taps AS (SELECT far.* EXCLUDE (tx), least(tx, len - 1) AS tx FROM far JOIN long ON long.img = far.img AND long.c = far.c AND long.y = far.ty)"""
 
 
 def stencil(px, radius: int):
     """px with an array `t` of its (2r+1)^2 taps, mirrored: rows meet by key, a row of samples being one array."""
     line = px.groupBy("img", "c", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("p")).select("img", "c", "y", F.col("p.v").alias("line"))
+    width = planes.WIDTH
+    full = F.concat(F.col("line"), F.array_repeat(F.element_at("line", -1), F.lit(width) - F.size("line")))
+    pad = F.transform(F.array(full), lambda r: F.concat(F.reverse(F.slice(r, 1, radius)), r, F.reverse(F.slice(r, width - radius + 1, radius))))[0]
+    line = line.select("img", "c", "y", "line", pad.alias("padded"))
     w = W.partitionBy("img", "c").orderBy("y")
+    near = [F.lead("padded", k).over(w) if k >= 0 else F.lag("padded", -k).over(w) for k in range(-radius, radius + 1)]
+    lines = line.select("img", "c", "y", "line", F.array(*near).alias("near"), F.max("y").over(W.partitionBy("img", "c")).alias("last"))
     rows = []
-    for dy in range(-radius, radius + 1):
+    for dy in range(-radius, radius + 1):  # a mirrored row is near too
         at = F.col("y") + dy
-        inside = F.lead("line", dy).over(w) if dy >= 0 else F.lag("line", -dy).over(w)
-        out = inside
-        for near in range(-2 * radius, 2 * radius + 1):  # the mirrored row is near too
-            got = F.lead("line", near).over(w) if near >= 0 else F.lag("line", -near).over(w)
-            mirror = F.when(at < 0, -1 - at).when(at >= ROWS, F.lit(2 * ROWS - 1) - at)
-            out = F.when(mirror - F.col("y") == near, got).otherwise(out)
-        rows.append(out)
-    lines = line.select("img", "c", "y", "line", F.array(*rows).alias("rows"))
-    width = planes.WIDTH
-    pad = lambda r: F.concat(F.reverse(F.slice(r, 1, radius)), r, F.reverse(F.slice(r, width - radius + 1, radius)))
-    padded = lines.select("img", "c", "y", "line", F.transform("rows", pad).alias("rows"))
-    each = padded.select("img", "c", "y", "rows", F.posexplode("line").alias("x", "v"))
+        target = F.when(at < 0, F.least(-1 - at, F.col("last"))).when(at > F.col("last"), F.greatest(2 * F.col("last") + 1 - at, F.lit(0))).otherwise(at)
+        rows.append(F.get("near", (target - F.col("y") + radius).cast("int")))
+    each = lines.select("img", "c", "y", F.array(*rows).alias("rows"), F.posexplode("line").alias("x", "v"))
     t = F.flatten(F.transform("rows", lambda r: F.slice(r, F.col("x") + 1, 2 * radius + 1)))
     return each.select("img", "c", "y", F.col("x").cast("long").alias("x"), "v", t.alias("t"))
 
@@ -186,25 +175,27 @@ def _convolution_sql(kernel: list[list[float]]) -> str:
     r = len(kernel) // 2
     values = ", ".join(f"({dx - r}, {dy - r}, {k!r})" for dy, row in enumerate(kernel) for dx, k in enumerate(row))
     return f"""WITH {_mirrored_sql(r)}, k AS (SELECT * FROM (VALUES {values}) AS t(dx, dy, k))
-SELECT t.img, t.c, t.x, t.y, t.v, round(sum(CAST(s.v AS DOUBLE) * k.k), 6) AS out FROM taps t JOIN k USING (dx, dy) JOIN plane s ON s.img = t.img AND s.c = t.c AND s.x = t.tx AND s.y = t.ty GROUP BY ALL"""
+SELECT t.img, t.c, t.x, t.y, t.v, round(sum(CAST(s.v AS DOUBLE) * k.k), 6) AS out FROM taps t JOIN k USING (dx, dy) JOIN ch s ON s.img = t.img AND s.c = t.c AND s.x = t.tx AND s.y = t.ty GROUP BY ALL"""
 
 
 @query("win10_sharpen", _convolution_sql(SHARPEN))
 def _(spark, sf):
-    return convolve(whole_rows(raw_channels(spark, sf)), SHARPEN).withColumn("out", F.round("out", 6))
+    return convolve(raw_channels(spark, sf), SHARPEN).withColumn("out", F.round("out", 6))
 
 
 @query("win11_smooth", _convolution_sql(SMOOTH))
 def _(spark, sf):
-    return convolve(whole_rows(raw_channels(spark, sf)), SMOOTH).withColumn("out", F.round("out", 6))
+    return convolve(raw_channels(spark, sf), SMOOTH).withColumn("out", F.round("out", 6))
 
 
-@query("win13_box_moments", f"""WITH {_mirrored_sql(2)} SELECT t.img, t.c, t.x, t.y, round(avg(s.v), 6) AS mean, round(avg(s.v * s.v), 6) AS square FROM taps t JOIN plane s ON s.img = t.img AND s.c = t.c AND s.x = t.tx AND s.y = t.ty GROUP BY ALL""")
+@query("win13_box_moments", f"""WITH {_mirrored_sql(2)} SELECT t.img, t.c, t.x, t.y, CAST(sum(s.v) AS BIGINT) AS total, CAST(sum(s.v * s.v) AS BIGINT) AS square, CAST(sum(s.v * (s.v // 6 * 6 + 3)) AS BIGINT) AS mixed
+FROM taps t JOIN ch s ON s.img = t.img AND s.c = t.c AND s.x = t.tx AND s.y = t.ty GROUP BY ALL""")
 def _(spark, sf):
-    t = stencil(whole_rows(raw_channels(spark, sf)), 2)
-    total = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x)
-    square = F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x * x)
-    return t.select("img", "c", "x", "y", F.round(total / 25, 6).alias("mean"), F.round(square / 25, 6).alias("square"))
+    """Sums of a box's samples, of their squares, and of their products with the same box of a coarser plane."""
+    t = stencil(raw_channels(spark, sf), 2)
+    total = lambda e: F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + e(x))
+    coarse = lambda x: (x - x % 6) + 3
+    return t.select("img", "c", "x", "y", total(lambda x: x).alias("total"), total(lambda x: x * x).alias("square"), total(lambda x: x * coarse(x)).alias("mixed"))
 
 
 @query("win14_half_resolution", f"WITH {LONG} SELECT img, c, x // 2 AS x, y // 2 AS y, round(avg(v), 6) AS v FROM ch GROUP BY img, c, x // 2, y // 2")

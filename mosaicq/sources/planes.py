@@ -6,7 +6,7 @@ tax as integers. Every image is laid out by itself, so the order is a window per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,11 +74,9 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stream, seq, value): the first line of each conversation turn as code points."""
-    said = table(spark, sf_dir, "conversations").filter("text is not null")
-    chars = said.select(F.col("conv_id").alias("conv"), "turn", F.posexplode(F.split(F.substring_index("text", "\n", 1), "")).alias("seq", "ch")).filter("ch <> ''")
-    return chars.select((F.col("conv") * 1000 + F.col("turn")).alias("stream"), F.col("seq").cast("long").alias("seq"), code_point(F.col("ch")).alias("value"))
-
-
-def code_point(ch: Column) -> Column:
-    return F.ascii(ch).cast("long")
+    """(stream, seq, value): each conversation turn's whole text as UTF-8 bytes, one stream a turn."""
+    said = table(spark, sf_dir, "conversations").filter("text is not null").withColumn("raw", F.encode("text", "UTF-8"))
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("raw"))).alias("at")
+    rows = said.filter(F.octet_length("raw") > 0).select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream"), "raw", at)
+    byte = F.conv(F.hex(F.substring("raw", F.col("at"), F.lit(1))), 16, 10).cast("long")
+    return rows.select("stream", (F.col("at") - 1).cast("long").alias("seq"), byte.alias("value"))

@@ -124,7 +124,7 @@ def test_trees_pay_and_small_fits():
     at = k.shelves(boxes, 16)
     for (a, b), (c, d) in itertools.combinations(zip(at, boxes), 2):
         assert a[0] + b[0] <= c[0] or c[0] + d[0] <= a[0] or a[1] + b[1] <= c[1] or c[1] + d[1] <= a[1]
-    assert k.fraction(0.375) == (3, 8) and k.move_to_front([3, 3, 1, 3]) == [1, 0, 1, 1]
+    assert k.fraction(0.375) == (3, 8) and k.fraction(-1e12) == (-(2**31 - 1), 1) and k.fraction(3e9)[0] < 2**31
     codes, have = k.closed_loop(np.array([5, 400, -90]), 50)
     assert np.abs(have - [5, 400, -90]).max() <= 25 and (np.cumsum(codes) * 50 == have).all()
     counts = np.array([[90, 1, 0], [88, 3, 0], [0, 1, 95]]) * 10
