@@ -139,3 +139,34 @@ def test_boxes_and_chains():
     v = np.zeros((5, 6), int)
     v[2, 1:5] = [9, 8, 7, 6]
     assert k.trace_chains(v, 5) == [[(1, 2), (2, 2), (3, 2), (4, 2)]]
+
+
+def test_jpeg_files_decode_to_what_was_written():
+    from mosaicq.sources import jpeg
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7):
+        blocks = np.where(rng.random((n, 64)) < 0.2, rng.integers(-900, 900, (n, 64)), 0)
+        blocks[0, 60:] = 0
+        extra = jpeg.application(b"p" * 70000, b"camera", b"<xml/>")
+        data = jpeg.write(blocks, 8, 8 * n, extra)
+        assert (jpeg.coefficients(data)[1].reshape(-1, 64) == blocks).all()
+        assert jpeg.kept(data) == {"icc": b"p" * 70000, "exif": b"camera", "xmp": b"<xml/>"}
+    for broken in (data[:-40], b"no file", data[:30]):
+        with pytest.raises(ValueError):
+            jpeg.coefficients(broken)
+
+
+def test_jpeg_reads_restarts_and_sampling():
+    """A hand-made file: two components, the first with two blocks a unit, a restart after every unit; all codes one bit long or two."""
+    from mosaicq.sources import jpeg
+
+    one = lambda place, symbols: jpeg._segment(jpeg.DHT, bytes([place, 0, len(symbols)] + [0] * 14 + symbols))
+    frame = jpeg._segment(jpeg.SOF0, bytes([8, 0, 8, 0, 32, 2, 1, 0x21, 0, 2, 0x11, 0]))
+    scan = jpeg._segment(jpeg.SOS, bytes([2, 1, 0, 2, 0, 0, 63, 0]))
+    # codes 00: size 0, 01: size 1; the other table 00: end of block. Units: +1, 0, -1 and then -1, -1, 0
+    units = ["01" "1" "00" "00" "00" "01" "0" "00", "01" "0" "00" "01" "0" "00" "00" "00"]
+    raw = [int(u + "1" * (-len(u) % 8), 2).to_bytes(-(-len(u) // 8), "big") for u in units]
+    data = b"\xff\xd8" + jpeg._segment(jpeg.DRI, b"\x00\x01") + frame + one(0, [0, 1]) + one(16, [0, 1]) + scan + raw[0] + b"\xff\xd0" + raw[1] + b"\xff\xd9"
+    got = jpeg.coefficients(data)
+    assert got[1][:, :, 0].tolist() == [[1, 1, -1, -2]] and got[2][:, :, 0].tolist() == [[-1, 0]]
