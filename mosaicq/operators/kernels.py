@@ -205,22 +205,29 @@ def lz_expand(tokens: list[tuple[int, int, int]]) -> list[int]:
     return out
 
 
-def priced_parse(values: list[int], price: dict[int, float], copy: float = 12.0, least: int = 3) -> float:
-    """Bits of the cheapest parse: dynamic programming over literals and the longest match at each place."""
+def copy_price(length: int, distance: int) -> float:
+    """Bits of a copy: its flag, and as many for length and distance as their magnitudes ask for."""
+    return 4.0 + 2 * max(length - 3, 0).bit_length() + 1.5 * distance.bit_length()
+
+
+def priced_parse(values: list[int], price: dict[int, float], least: int = 3, probes: int = 8) -> float:
+    """Bits of the cheapest parse: dynamic programming over literals and, at each place, every length of its latest matches."""
     n = len(values)
-    reach: dict[tuple, int] = {}
+    places: dict[tuple, list[int]] = {}
     cost = [0.0] + [float("inf")] * n
     for at in range(n):
         cost[at + 1] = min(cost[at + 1], cost[at] + price[values[at]])
         key = tuple(values[at : at + least])
-        place = reach.get(key)
-        if place is not None and len(key) == least:
-            k = 0
+        done = least - 1
+        for place in reversed(places.get(key, [])[-probes:]):  # the nearer come first, so a farther one serves lengths beyond theirs alone
+            k = least
             while at + k < n and values[place + k] == values[at + k]:
                 k += 1
-                if k >= least:
-                    cost[at + k] = min(cost[at + k], cost[at] + copy)
-        reach[key] = at
+            for length in range(done + 1, k + 1):
+                cost[at + length] = min(cost[at + length], cost[at] + copy_price(length, at - place))
+            done = max(done, k)
+        if len(key) == least:
+            places.setdefault(key, []).append(at)
     return cost[n]
 
 
@@ -303,6 +310,25 @@ def shortest_path(cost: np.ndarray) -> tuple[float, list[int]]:
     return total, path[::-1]
 
 
+def improved_path(cost: np.ndarray) -> tuple[float, list[int]]:
+    """An open path through many points: always on to the nearest, then stretches turned round for as long as that shortens it."""
+    n = len(cost)
+    path, left = [0], set(range(1, n))
+    while left:
+        path.append(min(left, key=lambda k: (cost[path[-1], k], k)))
+        left.remove(path[-1])
+    better = True
+    while better:
+        better = False
+        for a in range(n - 1):
+            for b in range(a + 1, n):
+                before = (cost[path[a - 1], path[a]] if a else 0.0) + (cost[path[b], path[b + 1]] if b + 1 < n else 0.0)
+                after = (cost[path[a - 1], path[b]] if a else 0.0) + (cost[path[a], path[b + 1]] if b + 1 < n else 0.0)
+                if after < before - 1e-9:
+                    path[a : b + 1], better = path[a : b + 1][::-1], True
+    return float(sum(cost[x, y] for x, y in zip(path, path[1:]))), path
+
+
 def best_levels(values: np.ndarray, weights: np.ndarray, k: int) -> tuple[float, list[float]]:
     """k levels of least weighted squared error for sorted values: each level serves a run of them."""
     n = len(values)
@@ -347,13 +373,15 @@ def trellis(values: np.ndarray, rate: float) -> list[int]:
     return min(states.values(), key=lambda s: s[0])[1]
 
 
-def grow_tree(x: np.ndarray, symbol: np.ndarray, leaves: int, least: int = 32) -> list[tuple]:
-    """Nodes (property, threshold, gain or bits, above, below) grown best gain first; a leaf's property is -1."""
+def grow_tree(x: np.ndarray, symbol: np.ndarray, leaves: int, least: int = 32, price: float = 0.0) -> list[tuple]:
+    """Nodes (property, threshold, gain or bits, above, below) grown best gain first; a leaf's property is -1.
+
+    symbol has a column for each predictor, and a leaf pays for its best one. Splits that gain less than `price` are pruned, the last first."""
+    symbol = symbol.reshape(len(symbol), -1)
+    width = int(symbol.max(initial=0)) + 1
 
     def bits(s: np.ndarray) -> float:
-        n = np.bincount(s)
-        n = n[n > 0]
-        return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum()) if len(n) > 1 else 0.0
+        return min(_entropy_bits(np.bincount(c, minlength=width)) for c in s.T) if len(s) else 0.0
 
     def split(rows: np.ndarray) -> tuple[float, int, int]:
         best = (0.0, -1, 0)
@@ -369,8 +397,10 @@ def grow_tree(x: np.ndarray, symbol: np.ndarray, leaves: int, least: int = 32) -
         return best
 
     nodes: list[tuple] = [(-1, 0, bits(symbol), -1, -1)]
+    own = [nodes[0][2]]
     rows_of = {0: np.arange(len(symbol))}
-    heap = [(-split(rows_of[0])[0], 0, split(rows_of[0]))]
+    first = split(rows_of[0])
+    heap = [(-first[0], 0, first)]
     while heap and len(rows_of) < leaves:
         gain, k, (_, p, t) = heapq.heappop(heap)
         if gain >= 0:
@@ -383,18 +413,41 @@ def grow_tree(x: np.ndarray, symbol: np.ndarray, leaves: int, least: int = 32) -
             found = split(part)
             heapq.heappush(heap, (-found[0], len(nodes), found))
             nodes.append((-1, 0, bits(symbol[part]), -1, -1))
+            own.append(nodes[-1][2])
+    for k in range(len(nodes) - 1, -1, -1):  # children come after their parents
+        p, _, gain, a, b = nodes[k]
+        if p >= 0 and nodes[a][0] < 0 and nodes[b][0] < 0 and gain < price:
+            nodes[k] = (-1, 0, own[k], -1, -1)
     return nodes
 
 
-def cluster_histograms(counts: np.ndarray, most: int, header: float = 64.0) -> list[int]:
-    """A cluster for each histogram: seeds are what the others code worst, then each goes to the seed that costs it least."""
+def tree_leaves(nodes: list[tuple]) -> list[tuple]:
+    """The leaves that the root reaches."""
+    out, todo = [], [0]
+    while todo:
+        node = nodes[todo.pop()]
+        if node[0] < 0:
+            out.append(node)
+        else:
+            todo += [node[3], node[4]]
+    return out
+
 
-    def bits(n: np.ndarray) -> float:
-        n = n[n > 0]
-        return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum()) if len(n) > 1 else 0.0
+def _entropy_bits(n: np.ndarray) -> float:
+    n = n[n > 0]
+    return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum()) if len(n) > 1 else 0.0
 
-    own = [bits(c) for c in counts]
-    apart = lambda a, b: bits(counts[a] + counts[b]) - own[a] - own[b]
+
+def cluster_bits(counts: np.ndarray, of: list[int], header: float = 64.0) -> float:
+    """What the clusters' histograms and headers take."""
+    return sum(_entropy_bits(counts[[k for k, c in enumerate(of) if c == own]].sum(axis=0)) + header for own in set(of))
+
+
+def cluster_histograms(counts: np.ndarray, most: int, header: float = 64.0) -> list[int]:
+    """A cluster for each histogram: seeds are what the others code worst, then each goes to the seed that costs it least; then
+    histograms move and clusters merge for as long as either makes the whole smaller."""
+    own = [_entropy_bits(c) for c in counts]
+    apart = lambda a, b: _entropy_bits(counts[a] + counts[b]) - own[a] - own[b]
     seeds = [int(counts.sum(axis=1).argmax())]
     near = [apart(seeds[0], k) for k in range(len(counts))]
     while len(seeds) < most:
@@ -403,7 +456,21 @@ def cluster_histograms(counts: np.ndarray, most: int, header: float = 64.0) -> l
             break
         seeds.append(k)
         near = [min(d, apart(k, j)) for j, d in enumerate(near)]
-    return [min(range(len(seeds)), key=lambda s: (apart(seeds[s], k) if seeds[s] != k else -1.0, s)) for k in range(len(counts))]
+    of = [min(range(len(seeds)), key=lambda s: (apart(seeds[s], k) if seeds[s] != k else -1.0, s)) for k in range(len(counts))]
+    return refine_clusters(counts, of, header)
+
+
+def refine_clusters(counts: np.ndarray, of: list[int], header: float = 64.0) -> list[int]:
+    """The same clusters after all moves of one histogram, and merges of two clusters, that make the whole smaller; numbered by first use."""
+    of, best = list(of), cluster_bits(counts, of, header)
+    while True:
+        moves = [[*of[:k], c, *of[k + 1 :]] for k in range(len(of)) for c in sorted(set(of)) if c != of[k]]
+        merges = [[a if c == b else c for c in of] for a in sorted(set(of)) for b in sorted(set(of)) if a < b]
+        cost, _, other = min(((cluster_bits(counts, x, header), i, x) for i, x in enumerate(moves + merges)), default=(best, 0, of))
+        if cost >= best - 1e-9:
+            names: dict[int, int] = {}
+            return [names.setdefault(c, len(names)) for c in of]
+        of, best = other, cost
 
 
 def fit_strength(intensity: np.ndarray, level: np.ndarray, points: int = 8, smooth: float = 0.1) -> np.ndarray:
@@ -460,6 +527,17 @@ def closed_loop(values: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, have
 
 
+def grown(mask: np.ndarray) -> np.ndarray:
+    """mask and all that touches it, corners included."""
+    wide = np.pad(mask, 1)
+    return np.any([wide[1 + dy : wide.shape[0] - 1 + dy, 1 + dx : wide.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+
+
+def shrunk(mask: np.ndarray) -> np.ndarray:
+    """What of mask touches nothing outside it; beyond the edge counts as inside."""
+    return ~grown(~mask)
+
+
 def merge_boxes(boxes: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Boxes (x0, y0, x1, y1), ends included, joined until none overlap; in order."""
     out: list[tuple[int, int, int, int]] = []

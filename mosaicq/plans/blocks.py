@@ -237,11 +237,26 @@ def _(spark, sf):
     return c.groupBy("img").agg(F.min(F.struct("bits", F.abs("s").alias("a"), "s")).alias("k")).select("img", F.col("k.s").alias("slope"), "k.bits")
 
 
-@query("opt03_merge_layouts", f"""WITH {LONG}, s AS (SELECT img, x // 8 AS bx, y // 8 AS bv, CAST(count(DISTINCT v) AS DOUBLE) * 2 AS cost FROM ch WHERE c = 0 GROUP BY ALL), m AS (SELECT img, x // 16 AS bx, y // 16 AS bv, CAST(count(DISTINCT v) AS DOUBLE) * 3 AS whole FROM ch WHERE c = 0 GROUP BY ALL),
-k AS (SELECT img, bx // 2 AS bx, bv // 2 AS bv, sum(cost) AS parts FROM s GROUP BY ALL) SELECT img, bx, bv, parts, whole, CASE WHEN whole < parts * 0.98 THEN 'merged' ELSE 'split' END AS layout, CASE WHEN whole < parts * 0.98 THEN whole ELSE parts END AS cost FROM k JOIN m USING (img, bx, bv)""")
-def _(spark, sf):
-    """A 16x16 site is merged where its own cost beats its parts' by a margin; both costs from one scan of distinct values."""
-    d = raw_channels(spark, sf).filter("c = 0").select("img", F.expr("x div 16").alias("bx"), F.expr("y div 16").alias("bv"), F.expr("(x div 8) % 2 + 2 * ((y div 8) % 2)").alias("q"), "v").distinct()
-    t = d.groupBy("img", "bx", "bv").agg((F.count("*") * 2.0).alias("parts"), (F.countDistinct("v") * 3.0).alias("whole"))
-    merged = F.col("whole") < F.col("parts") * 0.98
-    return t.select("*", F.when(merged, "merged").otherwise("split").alias("layout"), F.when(merged, F.col("whole")).otherwise(F.col("parts")).alias("cost"))
+# A 16x16 site's eight layouts: whole, both halves across or down, one half of either merged, or none; with the quarters each part covers.
+LAYOUTS = {"square": ((15,),), "across": ((3,), (12,)), "down": ((5,), (10,)), "top": ((3,), (4,), (8,)), "bottom": ((1,), (2,), (12,)), "left": ((5,), (2,), (8,)), "right": ((1,), (4,), (10,)), "none": ((1,), (2,), (4,), (8,))}
+_PRICE = {1: 2.0, 2: 2.4, 4: 3.0}
+_PARTS = sorted({p for parts in LAYOUTS.values() for (p,) in parts})
+#: A merge must beat the parts by a margin.
+_MARGIN = {"none": 1.0, "square": 1.03}
+
+
+@query("opt03_merge_layouts", f"""WITH {LONG}, m AS (SELECT img, x // 16 AS bx, y // 16 AS bv, v, bit_or(1 << CAST((x // 8) % 2 + 2 * ((y // 8) % 2) AS INTEGER)) AS mask FROM ch WHERE c = 0 GROUP BY ALL),
+p AS (SELECT img, bx, bv, {', '.join(f'{_PRICE[p.bit_count()]!r}::DOUBLE * count(*) FILTER (WHERE mask & {p} <> 0) + 4 AS p{p}' for p in _PARTS)} FROM m GROUP BY img, bx, bv),
+l AS ({' UNION ALL '.join(f"SELECT img, bx, bv, '{n}' AS layout, {i} AS place, round(({' + '.join(f'p{q}' for (q,) in parts)}) * {_MARGIN.get(n, 1.01)!r}::DOUBLE, 4) AS cost FROM p" for i, (n, parts) in enumerate(LAYOUTS.items()))})
+SELECT img, bx, bv, layout, cost FROM (SELECT *, row_number() OVER (PARTITION BY img, bx, bv ORDER BY cost, place) AS r FROM l) WHERE r = 1""")
+def _(spark, sf):
+    """The cheapest of a site's eight layouts, by the distinct values of each part; merged parts pay a margin. One scan gives all parts:
+    each value brings the quarters that it stands in as bits."""
+    quarter = F.expr("shiftleft(1, cast((x div 8) % 2 + 2 * ((y div 8) % 2) as int))")
+    m = raw_channels(spark, sf).filter("c = 0").groupBy("img", F.expr("x div 16").alias("bx"), F.expr("y div 16").alias("bv"), "v").agg(F.bit_or(quarter).alias("mask"))
+    p = m.groupBy("img", "bx", "bv").agg(*[(F.count_if(F.col("mask").bitwiseAND(F.lit(q)) != 0) * _PRICE[q.bit_count()] + 4).alias(f"p{q}") for q in _PARTS])
+    rows = []
+    for i, (name, parts) in enumerate(LAYOUTS.items()):
+        cost = sum((F.col(f"p{q}") for (q,) in parts[1:]), F.col(f"p{parts[0][0]}"))
+        rows.append(F.struct(F.round(cost * _MARGIN.get(name, 1.01), 4).alias("cost"), F.lit(i).alias("place"), F.lit(name).alias("layout")))
+    return p.select("img", "bx", "bv", F.array_min(F.array(*rows)).alias("b")).select("img", "bx", "bv", "b.layout", "b.cost")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaicq.operators import kernels as k
 from mosaicq.plans.catalog import query
-from mosaicq.plans.sql import LETTERS, RGB, SIGNAL, YCC
+from mosaicq.plans.sql import LETTERS, LONG, RGB, SIGNAL, YCC
 from mosaicq.plans.windows import raw_channels, ycc
 from mosaicq.sources import planes
 
@@ -191,6 +192,19 @@ def _(spark, sf):
     return planes.signal(spark, sf).groupBy("user_id").applyInPandas(run, "user_id long, points long, kept long")
 
 
+@query("ord04_improved_paths", f"""WITH {LONG}, h AS (SELECT DISTINCT img, v FROM ch WHERE c = 0) SELECT img, count(*) AS levels, CAST(max(v) - min(v) AS DOUBLE) AS cost FROM h GROUP BY img""")
+def _(spark, sf):
+    """An order of all of an image's levels by turning stretches round; along a line the shortest path is known."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("key").v.to_numpy(float)  # scattered, so that there is something to improve
+        cost, _ = k.improved_path(np.abs(v[:, None] - v[None, :]))
+        return pd.DataFrame({"img": [pdf.img.iloc[0]], "levels": [len(v)], "cost": [cost]})
+
+    h = raw_channels(spark, sf).filter("c = 0").select("img", "v").distinct().withColumn("key", F.expr("(v * 37) % 101"))
+    return h.groupBy("img").applyInPandas(run, "img long, levels long, cost double")
+
+
 @query("ord04_shortest_paths")
 def _(spark, sf):
     """The exact cheapest order of an image's eight most frequent levels."""
@@ -225,20 +239,52 @@ def _(spark, sf):
     return planes.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "block long, nonzero long, size long")
 
 
+def tree_inputs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Properties of each sample's neighbourhood, and the symbols that four predictors leave."""
+    p = pdf.sort_values("i")
+    v = p.v.to_numpy()
+    w, n = np.concatenate(([0], v[:-1])), np.concatenate((np.zeros(WIDTH, np.int64), v[:-WIDTH]))
+    nw = np.concatenate((np.zeros(WIDTH + 1, np.int64), v[: -WIDTH - 1]))[: len(v)]
+    gradient = np.clip(w + n - nw, np.minimum(w, n), np.maximum(w, n))
+    symbols = np.stack([np.minimum(np.abs(v - g), 63) for g in (w, n, (w + n) // 2, gradient)], axis=1)
+    return np.stack((w, n, np.abs(w - n), np.abs(w - nw), p.x.to_numpy(), p.y.to_numpy()), axis=1), symbols
+
+
 @query("opt01_learned_trees")
 def _(spark, sf):
-    """A tree of eight leaves at most for each image, over its neighbours' activity."""
+    """A tree of sixteen leaves at most for each plane: every leaf has its best predictor, and splits must pay for themselves."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("i")
-        v = p.v.to_numpy()
-        w, n = np.concatenate(([0], v[:-1])), np.concatenate((np.zeros(WIDTH, np.int64), v[:-WIDTH]))
-        symbol = np.minimum(np.abs(v - w), 63)
-        nodes = k.grow_tree(np.stack((w, n, np.abs(w - n), p.x.to_numpy()), axis=1), symbol, 8)
-        leaves = [t for t in nodes if t[0] < 0]
-        return pd.DataFrame({"img": [pdf.img.iloc[0]], "leaves": [len(leaves)], "bits": [round(sum(t[2] for t in leaves), 3)]})
-
-    return raw_channels(spark, sf).filter("c = 0").groupBy("img").applyInPandas(run, "img long, leaves long, bits double")
+        leaves = k.tree_leaves(k.grow_tree(*tree_inputs(pdf), 16, price=20.0))
+        return pd.DataFrame({"img": [pdf.img.iloc[0]], "c": [pdf.c.iloc[0]], "leaves": [len(leaves)], "bits": [round(sum(t[2] for t in leaves), 3)]})
+
+    return raw_channels(spark, sf).groupBy("img", "c").applyInPandas(run, "img long, c int, leaves long, bits double")
+
+
+_SPLIT = "CASE WHEN count(*) = 1 THEN 0.0 ELSE sum(n) * log2(sum(n)) - sum(n * log2(n)) END"
+
+
+@query("opt02_context_splits", f"""WITH {LONG}, s AS (SELECT img, abs(v - w) AS e, abs(w - coalesce(lag(w) OVER (PARTITION BY img ORDER BY i), 0)) AS p FROM (SELECT *, coalesce(lag(v) OVER (PARTITION BY img ORDER BY i), 0) AS w FROM ch WHERE c = 0)),
+t AS (SELECT img, th, p > th AS side, e, count(*) AS n FROM s, (VALUES (4), (9), (19), (39), (79), (119)) AS x(th) GROUP BY ALL), b AS (SELECT img, th, side, {_SPLIT} AS bits, sum(n) AS m FROM t GROUP BY img, th, side),
+f AS (SELECT img, {_SPLIT} AS flat FROM (SELECT img, e, count(*) AS n FROM s GROUP BY ALL) GROUP BY img), g AS (SELECT img, th, round(flat - sum(bits), 4) AS gain FROM b JOIN f USING (img) GROUP BY img, th, flat HAVING count(*) = 2 AND min(m) >= 16)
+SELECT img, th AS threshold, gain, gain > 40 AS kept FROM (SELECT *, row_number() OVER (PARTITION BY img ORDER BY gain DESC, th) AS r FROM g) WHERE r = 1""")
+def _(spark, sf):
+    """The split of a context by its neighbours' activity that saves most; it stays where it saves more than it costs to tell."""
+    by = W.partitionBy("img").orderBy("i")
+    w = raw_channels(spark, sf).filter("c = 0").select("img", "i", "v", F.coalesce(F.lag("v").over(by), F.lit(0)).alias("w"))
+    s = w.select("img", F.abs(F.col("v") - F.col("w")).alias("e"), F.abs(F.col("w") - F.coalesce(F.lag("w").over(by), F.lit(0))).alias("p"))
+    cuts = (4, 9, 19, 39, 79, 119)
+    h = s.groupBy("img", "e").agg(*[F.count_if(F.col("p") > t).alias(f"a{t}") for t in cuts], *[F.count_if(F.col("p") <= t).alias(f"b{t}") for t in cuts])
+
+    def bits(n):
+        used = F.when(n > 0, n)
+        return F.when(F.count(used) <= 1, 0.0).otherwise(F.sum(used) * F.log2(F.sum(used)) - F.sum(used * F.log2(used)))
+
+    col = F.col
+    sums = h.groupBy("img").agg(bits(col(f"a{cuts[0]}") + col(f"b{cuts[0]}")).alias("flat"), *[(bits(col(f"a{t}")) + bits(col(f"b{t}"))).alias(f"c{t}") for t in cuts], *[F.least(F.sum(f"a{t}"), F.sum(f"b{t}")).alias(f"m{t}") for t in cuts])
+    rows = F.array_compact(F.array(*[F.when(col(f"m{t}") >= 16, F.struct((-F.round(col("flat") - col(f"c{t}"), 4)).alias("g"), F.lit(t).alias("threshold"))) for t in cuts]))
+    best = sums.select("img", F.array_min(rows).alias("k")).filter("k is not null")
+    return best.select("img", "k.threshold", (-col("k.g")).alias("gain"), (-col("k.g") > 40).alias("kept"))
 
 
 @query("opt10_strength_curve")

@@ -16,7 +16,7 @@ from mosaicq.operators.predict import neighbours, predictors, residual_tokens, t
 from mosaicq.plans.blocks import _Q, quantised
 from mosaicq.plans.catalog import query
 from mosaicq.plans.costs import _BITS, _ENT, _RES, residuals
-from mosaicq.plans.kernels import mask_of, plane_of
+from mosaicq.plans.kernels import mask_of, plane_of, tree_inputs
 from mosaicq.plans.sql import LONG, RGB, SIGNAL, YCC, gradient_residual
 from mosaicq.plans.sql import neighbours as nb_sql
 from mosaicq.plans.windows import _tap_sql, raw_channels, squeeze_rows, ycc
@@ -224,18 +224,16 @@ def _(spark, sf):
 
 @query("sup16_local_trees")
 def _(spark, sf):
-    """A tree per image where its leaves save more than its nodes cost."""
+    """A tree per plane where its leaves save more than its nodes cost."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("i")
-        v = p.v.to_numpy()
-        w, n = np.concatenate(([0], v[:-1])), np.concatenate((np.zeros(planes.WIDTH, np.int64), v[: -planes.WIDTH]))
-        nodes = k.grow_tree(np.stack((w, n, np.abs(w - n)), axis=1), np.minimum(np.abs(v - w), 63), 6)
-        flat, tree = nodes[0][2] if len(nodes) == 1 else None, sum(t[2] for t in nodes if t[0] < 0) + 20.0 * (len(nodes) // 2)
-        whole = k.grow_tree(np.stack((w,), axis=1), np.minimum(np.abs(v - w), 63), 1)[0][2]
-        return pd.DataFrame({"img": [pdf.img.iloc[0]], "flat_bits": [round(whole if flat is None else flat, 3)], "tree_bits": [round(tree, 3)], "kept": [bool(tree < whole)]})
+        x, symbol = tree_inputs(pdf)
+        flat = k.grow_tree(x, symbol, 1)[0][2]
+        nodes = k.grow_tree(x, symbol, 6)
+        tree = sum(t[2] for t in k.tree_leaves(nodes)) + 20.0 * (len(nodes) // 2)
+        return pd.DataFrame({"img": [pdf.img.iloc[0]], "c": [pdf.c.iloc[0]], "flat_bits": [round(flat, 3)], "tree_bits": [round(tree, 3)], "kept": [bool(tree < flat)]})
 
-    return raw_channels(spark, sf).filter("c = 0").groupBy("img").applyInPandas(run, "img long, flat_bits double, tree_bits double, kept boolean")
+    return raw_channels(spark, sf).groupBy("img", "c").applyInPandas(run, "img long, c int, flat_bits double, tree_bits double, kept boolean")
 
 
 @query("sup17_divided_channels", f"WITH {LONG}, f AS (SELECT c, CASE c WHEN 0 THEN 5 WHEN 1 THEN 25 ELSE 31 END AS f FROM range(3) AS t(c)), h AS (SELECT c, v // f AS q, count(*) AS n FROM ch JOIN f USING (c) GROUP BY ALL) SELECT c, count(*) AS levels, max(q) AS most, round({_ENT}, 3) AS bits FROM h GROUP BY c")
@@ -383,10 +381,10 @@ def _(spark, sf):
 
 @query("seg09_merged_regions")
 def _(spark, sf):
-    """Boxes of bright components, merged until none overlap."""
+    """Boxes of bright components, merged until none overlap; the mask is grown and shrunk first, so that small gaps close."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = k.components8(mask_of(pdf))
+        label = k.components8(k.shrunk(k.grown(mask_of(pdf))))
         boxes = [(xs.min() - 1, ys.min() - 1, xs.max() + 1, ys.max() + 1) for ys, xs in (np.nonzero(label == r) for r in np.unique(label[label >= 0]))]
         out = k.merge_boxes([tuple(map(int, b)) for b in boxes])
         return pd.DataFrame({"img": pdf.img.iloc[0], "x0": [b[0] for b in out], "y0": [b[1] for b in out], "x1": [b[2] for b in out], "y1": [b[3] for b in out]})
