@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one that the session has set; on one machine, where neither is, one of our own."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    own = sc._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (None if own.isEmpty() else own.get())
     if not folder:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="mosaicq-"))
-        return sc._jsc.sc().getCheckpointDir().get()
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="mosaicq-")
+    if own.isEmpty():
         sc.setCheckpointDir(folder)
     return folder
 
@@ -56,6 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same by a compressed table in the shared folder, for what is large."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so further columns can't clash; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -96,3 +104,16 @@ def pack_chunks(df: DataFrame, level: int = 3) -> DataFrame:
 def unpack_chunk(group: pa.Table) -> pa.Table:
     """A chunk's rows, in no certain order."""
     return pa.concat_tables([pa.ipc.open_stream(raw.as_buffer()).read_all() for raw in group["rows"]]).combine_chunks()
+
+
+def by_chunk(packed: DataFrame, n: int) -> DataFrame:
+    """Packed chunks dealt to n partitions and cut there; what groups them by chunk afterwards finds them in place.
+
+    A checkpoint keeps its plan's partitioning unless the plan is adaptive, so this one is not."""
+    conf, name = packed.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(packed.repartition(n, "chunk"))
+    finally:
+        conf.set(name, before)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaicq.llm.common import Places, chunk_count, chunk_of, cut, pack_chunks, table, text_bytes, texts, unpack_chunk
+from mosaicq.llm.common import Places, by_chunk, chunk_count, chunk_of, cut, pack_chunks, table, text_bytes, texts, unpack_chunk
 from mosaicq.llm.packed import pack_keys, pack_values, split, unpack_keys, unpack_values
 from mosaicq.llm.suffixes import common_prefixes, suffix_array
 
@@ -102,6 +102,11 @@ class Chunk:
         return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
 
 
+def _sent(chunk: int, rows: list[tuple[int, list[bytes]]]) -> pa.Table:
+    """A chunk's rows for the buckets that it has something for, never more than it has keys."""
+    return pa.table({"bucket": pa.array([k for k, _ in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "sent": pa.array([x for _, x in rows], pa.list_(pa.binary()))})
+
+
 def _sharing(group: pa.Table, buckets: int) -> pa.Table:
     """A chunk's distinct least hashes and in how many of its documents each stands, for the buckets."""
     _, _, doc, key = Chunk(group).runs()
@@ -111,8 +116,8 @@ def _sharing(group: pa.Table, buckets: int) -> pa.Table:
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     keys, n = np.unique(key[new], return_counts=True)
     edges = split(keys, buckets)
-    sent = [[pack_keys(keys[a:b]), pack_values(n[a:b])] for a, b in zip(edges, edges[1:], strict=False)]
-    return pa.table({"bucket": pa.array(range(buckets), pa.int32()), "chunk": pa.array([group["chunk"][0].as_py()] * buckets, pa.int32()), "sent": pa.array(sent, pa.list_(pa.binary()))})
+    sent = [(k, [pack_keys(keys[a:b]), pack_values(n[a:b])]) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+    return _sent(group["chunk"][0].as_py(), sent)
 
 
 def _shared(group: pa.Table) -> pa.Table:
@@ -141,13 +146,13 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
 def _stretches(group: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """A chunk's stretches under shared hashes for the buckets, and its own notes (bucket -1) on where they stand."""
     if not group.num_rows:
-        return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.list_(pa.binary()))], names=["bucket", "chunk", "sent"])
+        return _sent(0, [])
     from xxhash import xxh64_intdigest
 
     c = Chunk(group)
     start, n, doc, key = c.runs()
     keys = np.unique(key)
-    kinds = np.concatenate([unpack_values(k) for k in answers.sort_by([("bucket", "ascending")])["kinds"].to_pylist()])
+    kinds = np.concatenate([np.zeros(0, np.int64), *(unpack_values(k) for k in answers.sort_by([("bucket", "ascending")])["kinds"].to_pylist())])
     kind = kinds[np.searchsorted(keys, key)]
     hot = np.flatnonzero(kind == 2)
     single = np.repeat(start[hot] - np.cumsum(n[hot]) + n[hot], n[hot]) + np.arange(n[hot].sum())  # each string by itself
@@ -172,12 +177,12 @@ def _stretches(group: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     n_, key_ = n_of[order], key_of[order]
     edges = split(key_, buckets)
     sent = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        own = order[a:b]
-        sent.append(_pack_arrays(key_[a:b], n_[a:b].astype(np.int32), least[own], np.frombuffer(b"".join(texts_[i] for i in own.tolist()), np.uint8)))
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if b > a:
+            own = order[a:b]
+            sent.append((k, _pack_arrays(key_[a:b], n_[a:b].astype(np.int32), least[own], np.frombuffer(b"".join(texts_[i] for i in own.tolist()), np.uint8))))
     notes = _pack_arrays(start, n.astype(np.int32), doc.astype(np.int32), place[at], least[at])
-    chunk = group["chunk"][0].as_py()
-    return pa.table({"bucket": pa.array([*range(buckets), -1], pa.int32()), "chunk": pa.array([chunk] * (buckets + 1), pa.int32()), "sent": pa.array([*sent, notes], pa.list_(pa.binary()))})
+    return _sent(group["chunk"][0].as_py(), [(-1, notes), *sent])
 
 
 def smaller_holders(pieces: list[bytes], n: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -244,6 +249,7 @@ def _cut_out(group: pa.Table, notes: pa.Table) -> pa.Table:
         c = Chunk(group)
         notes = notes.sort_by([("bucket", "ascending")])
         start, n, doc, place, least = (_unpack(x, kind) for x, kind in zip(notes["sent"][0].as_py(), (np.int64, np.int32, np.int32, np.int64, np.int64), strict=True))
+        # the buckets' rows come in the order of their keys, as the stretches were placed
         flags = [np.unpackbits(_unpack(s[0], np.uint8), count=k).astype(bool) for s, k in zip(notes["sent"].to_pylist()[1:], notes["strings"].to_pylist()[1:], strict=True) if k]
         flags = np.concatenate(flags) if flags else np.zeros(0, bool)
         n = n.astype(np.int64)
@@ -280,12 +286,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     common = cut(groups.filter(F.col("n") * 1000 >= max(total, 100_000)).select("sha", F.col("first.doc_id").alias("first_id")))
     marked = own.join(F.broadcast(common.withColumn("common", F.lit(True))), "sha", "left")
     is_copy = F.coalesce("common", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("first_id"))
-    rest = pack_chunks(marked.filter(~is_copy).select("doc_id", "text", chunk_of(n, "sha").alias("chunk")))
+    rest = by_chunk(pack_chunks(marked.filter(~is_copy).select("doc_id", "text", chunk_of(n, "sha").alias("chunk"))), n)
     sent = "bucket int, chunk int, sent array<binary>"
     sharing = rest.groupBy("chunk").applyInArrow(lambda g: _sharing(g, n), sent)
-    kinds = cut(sharing.groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, kinds binary"))
+    kinds = cut(sharing.repartition(n, "bucket").groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, kinds binary"))
     stretches = cut(rest.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(lambda g, a: _stretches(g, a, n), sent))
-    bits = stretches.filter("bucket >= 0").groupBy("bucket").applyInArrow(_sorted_bucket, sent + ", strings long")
+    bits = stretches.filter("bucket >= 0").repartition(n, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, sent + ", strings long")
     notes = stretches.filter("bucket < 0").withColumn("strings", F.lit(0).cast("long")).unionByName(bits)
     done = rest.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_cut_out, _SCHEMA)
     raw = F.col("text").cast("binary")
