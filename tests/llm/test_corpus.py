@@ -180,6 +180,18 @@ def brute_tiles(doc, item, least):
             fd[best[0] + k] = fi[best[1] + k] = False
 
 
+def covers(text, item, least=5):
+    """Whether the plain tiling of a text marks 80 % of an item's words."""
+    doc, own = decontaminate.words(text), decontaminate.words(item)
+    least = min(least, len(own))
+    seeds = {tuple(own[i : i + least]) for i in range(len(own) - least + 1)}
+    if not own or not any(tuple(doc[i : i + least]) in seeds for i in range(len(doc) - least + 1)):
+        return False
+    known = {}
+    ids = [np.array([known.setdefault(w, len(known)) for w in x]) for x in (own, doc)]
+    return sum(t[2] for t in decontaminate.tile(ids[1], ids[0], least)) >= 0.8 * len(own)
+
+
 def test_tiling_covers_what_brute_force_covers():
     rng = np.random.default_rng(5)
     for _ in range(60):
@@ -208,9 +220,8 @@ def test_leaks_are_found_reordered_and_clean_documents_stay(spark, make):
 # lines ---------------------------------------------------------------------------------------------------------------
 
 
-def line_set(line):
-    w = line.split(" ")
-    return frozenset((w[i], w[i + 1][: lines.LEAD] if i + 1 < len(w) else None) for i in range(max(1, len(w) - 1)))
+def grams(line):
+    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
 
 
 def test_lines_match_brute_force(make, prose):
@@ -223,7 +234,7 @@ def test_lines_match_brute_force(make, prose):
             if line.strip(" "):
                 at[line.strip(" ")].append((d, n))
     known = list(at)
-    sets = [line_set(x) for x in known]
+    sets = [grams(x) for x in known]
     links = [(i, j) for i in range(len(known)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     groups = defaultdict(list)
     for k, r in enumerate(roots(len(known), links)):
@@ -488,8 +499,8 @@ def test_pipeline_runs_its_stages(spark):
     prints = {d: brute_fingerprint(text[d]) for d in first}
     root = roots(len(first), [(i, j) for i in range(len(first)) for j in range(i) if (prints[first[i]] ^ prints[first[j]]).bit_count() <= 2])
     unique = {first[r] for r in root}
-    block = decontaminate.Block([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
-    clean = {d for d in unique if not block.match(text[d])}
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {d for d in unique if not any(covers(text[d], i) for i in items)}
     size = {d: len(text[d].split()) for d in clean}
     rows = corpus_pipeline.run(spark, sf).collect()
     used = Counter(r.doc_id for r in rows)
@@ -507,11 +518,11 @@ def test_word_pattern_is_the_bytes_split():
 
 def test_crowded_lines_are_split_and_joined_by_rare_shingles(make, monkeypatch):
     """Small limits send every route through the crowded paths; the links must be those of brute force."""
-    monkeypatch.setattr(lines, "SMALL", 2)
+    monkeypatch.setattr(lines, "CROWDED", 2)
     base = [f"w{k}" for k in range(40)]
     texts = [" ".join(base[:k] + [f"v{k}"] + base[k + 1 :]) for k in range(0, 40, 3)] + [" ".join(f"q{j}x{k}" for k in range(6)) + " of the end" for j in range(30)] + [" ".join(base)]
     got = {(r.doc_id, r.line_no): r.holder for r in lines.repeated_lines(make(texts)).collect()}
-    sets = [line_set(t) for t in texts]
+    sets = [grams(t) for t in texts]
     links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     groups = defaultdict(list)
     for k, r in enumerate(roots(len(texts), links)):
@@ -523,15 +534,12 @@ def test_rare_shingles_find_all_near_sets(spark):
     rng = np.random.default_rng(12)
     sets = [sorted({int(x) for x in rng.integers(0, 25, rng.integers(1, 14))}) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(sets)), "key long, set array<int>")
-    got = {(r.a, r.b) for r in lines._verified(lines._rare_pairs(df).distinct(), df).collect()}
+    near = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    got = {(r.a, r.b) for r in lines._rare_pairs(df).distinct().collect() if near(r.a, r.b)}
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
     assert got == want
 
 
-def grams(line):
-    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
-
-
 def test_lines_with_a_wrong_character_are_near_by_plain_character_shingles(make):
     line = "the committee will publish its annual report on the state of the harbour"
     texts = [line, line.replace("annual", "annval"), line.replace("annual", "monthly"), "été à la mer où naît 🌊 l'écume blanche", "été à la mer où naît 🌊 l'écume blanchi", "ab", "ac"]
@@ -546,7 +554,7 @@ def test_lines_with_a_wrong_character_are_near_by_plain_character_shingles(make)
 @pytest.mark.parametrize("small", [1, 3])
 def test_crowded_bands_lose_no_link(spark, make, monkeypatch, small):
     """Lines of which each is near the next alone, so pivots part neighbours; with all bands crowded the components must be those of brute force."""
-    monkeypatch.setattr(lines, "SMALL", small)
+    monkeypatch.setattr(lines, "CROWDED", small)
     rng = np.random.default_rng(3)
     letter = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
     texts = []
@@ -558,7 +566,7 @@ def test_crowded_bands_lose_no_link(spark, make, monkeypatch, small):
     docs = make(texts)
     sets = [grams(t) for t in texts]
     near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    once = lines.signatures(docs).withColumns({f"m{j}": F.lit(0) for j in range(lines.ROWS)})  # one band of all lines
+    once = lines.signatures(docs).withColumn("p0", F.lit(0).cast("long"))  # one band of all lines
     key = {r.key: r.doc_id for r in lines.lines(docs).collect()}
     found = [(key[r.a], key[r.b]) for r in lines.links(once, docs).collect()]
     assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in near}
@@ -578,7 +586,7 @@ def test_few_pairs_at_the_similarity_share_no_band(make):
     docs = make(texts)
     of = lines.lines(docs).select("key", F.expr("doc_id div 2").alias("pair"))
     shared = lines._bands(lines.signatures(docs)).join(of, "key").groupBy("pair", "band").count().filter("count = 2")
-    assert 4000 - shared.select("pair").distinct().count() <= 4000 * 0.0003
+    assert 4000 - shared.select("pair").distinct().count() <= 4000 * 0.002
 
 
 def test_paragraphs_of_few_words_are_units(make):
