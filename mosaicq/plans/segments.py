@@ -65,23 +65,32 @@ def _(spark, sf):
     return g.withColumn("saving", (F.col("uses") - 1) * 20 - 30).filter("saving > 0")
 
 
-_SIGN = f"{LONG}, sig AS (SELECT img, x // 8 AS tx, y // 8 AS ty, avg(v) FILTER (WHERE c = 0) AS m0, avg(v) FILTER (WHERE c = 1) AS m1, avg(v) FILTER (WHERE c = 2) AS m2 FROM ch GROUP BY ALL)"
+@query("join06_equal_tiles", f"WITH {RGB}, {_TILE}, g AS (SELECT t, min(img * 1000 + ty * 8 + tx) AS leader, count(*) AS uses FROM tile GROUP BY t HAVING count(*) > 1) SELECT img, tx, ty, leader, uses FROM tile JOIN g USING (t)")
+def _(spark, sf):
+    """Each tile that has a twin, with the first of its kind: tiles meet by hash, and the samples themselves decide."""
+    t = masks(spark, sf).withColumn("h", F.xxhash64("t"))
+    g = t.groupBy("h", F.col("t").alias("own")).agg(F.min(F.expr("img * 1000 + ty * 8 + tx")).alias("leader"), F.count("*").alias("uses")).filter("uses > 1")
+    return t.join(g, "h").filter("t = own").select("img", "tx", "ty", "leader", "uses")
+
+
+_SIGN = f"{LONG}, sig AS (SELECT img, x // 8 AS tx, y // 8 AS ty, CAST(sum(v) FILTER (WHERE c = 0) AS BIGINT) AS s0, CAST(sum(v) FILTER (WHERE c = 1) AS BIGINT) AS s1, CAST(sum(v) FILTER (WHERE c = 2) AS BIGINT) AS s2, count(*) // 3 AS n FROM ch GROUP BY ALL)"
+_NEAR = " AND ".join(f"abs(a.s{c} * b.n - b.s{c} * a.n) <= 2 * a.n * b.n" for c in range(3))
 
 
-@query("join07_near_tiles", f"""WITH {_SIGN}, k AS (SELECT *, img * 100 + ty * 10 + tx AS id FROM sig), p AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b ON a.id < b.id AND abs(a.m0 - b.m0) <= 2 AND abs(a.m1 - b.m1) <= 2 AND abs(a.m2 - b.m2) <= 2) SELECT a, b FROM p""")
+@query("join07_near_tiles", f"""WITH {_SIGN}, k AS (SELECT s0, s1, s2, n, min(img * 100 + ty * 10 + tx) AS id, count(*) AS uses FROM sig GROUP BY ALL) SELECT a.id AS a, b.id AS b, a.uses * b.uses AS links FROM k a JOIN k b ON a.id < b.id AND {_NEAR}""")
 def _(spark, sf):
-    """Tiles within 2 of each other in all three means: one bucket a tile and nine bucket places a partner in two of the
-    dimensions, so close tiles meet by an equi-join whatever side of a border they lie on."""
-    ch = raw_channels(spark, sf)
-    m = lambda c: F.avg(F.when(F.col("c") == c, F.col("v")))
-    sig = ch.groupBy("img", F.expr("x div 8").alias("tx"), F.expr("y div 8").alias("ty")).agg(*[m(c).alias(f"m{c}") for c in range(3)])
-    k = sig.select(F.expr("img * 100 + ty * 10 + tx").alias("id"), *[f"m{c}" for c in range(3)], *[F.floor(F.col(f"m{c}") / 2).alias(f"q{c}") for c in range(3)])
-    b = k.select(F.col("id").alias("b"), *[F.col(f"m{c}").alias(f"n{c}") for c in range(3)], "q0", "q1", "q2")
+    """Kinds of tiles within 2 of each other in all three means. Equal tiles are one kind, told by its first and counted, so they
+    yield no square; a kind stands in one bucket and its partners in the buckets around it in every mean, so near ones meet by an
+    equi-join whatever side of a border they lie on. Sums are compared, not means, so nothing is rounded."""
+    m = lambda c: F.sum(F.when(F.col("c") == c, F.col("v")))
+    sig = raw_channels(spark, sf).groupBy("img", F.expr("x div 8").alias("tx"), F.expr("y div 8").alias("ty")).agg(*[m(c).alias(f"s{c}") for c in range(3)], F.expr("count(*) div 3").alias("n"))
+    k = sig.groupBy("s0", "s1", "s2", "n").agg(F.min(F.expr("img * 100 + ty * 10 + tx")).alias("id"), F.count("*").alias("uses"))
+    own = k.select("*", *[F.floor(F.col(f"s{c}") / (F.col("n") * 2)).alias(f"q{c}") for c in range(3)])
+    other = own.select(F.col("id").alias("b"), F.col("uses").alias("others"), F.col("n").alias("m"), *[F.col(f"s{c}").alias(f"t{c}") for c in range(3)], "q0", "q1", "q2")
     for c in range(3):
-        own = F.col(f"q{c}")
-        b = b.withColumn(f"q{c}", F.explode(F.array(own - 1, own, own + 1)))
-    pairs = k.withColumnRenamed("id", "a").join(b, ["q0", "q1", "q2"]).filter("a < b and abs(m0 - n0) <= 2 and abs(m1 - n1) <= 2 and abs(m2 - n2) <= 2")
-    return pairs.select("a", "b").distinct()
+        other = other.withColumn(f"q{c}", F.explode(F.array(*[F.col(f"q{c}") + d for d in (-1, 0, 1)])))
+    near = " and ".join(f"abs(s{c} * m - t{c} * n) <= 2 * n * m" for c in range(3))
+    return own.join(other, ["q0", "q1", "q2"]).filter(f"id < b and {near}").select(F.col("id").alias("a"), "b", (F.col("uses") * F.col("others")).alias("links"))
 
 
 @query("join09_unpatched_residual", f"""WITH {RGB}, {_TILE}, g AS (SELECT t FROM tile GROUP BY t HAVING count(*) >= 5), cov AS (SELECT img, tx, ty FROM tile JOIN g USING (t))
@@ -202,3 +211,15 @@ def _(spark, sf):
     bit = F.call_function("shiftleft", F.lit(1), F.expr("int((y % 4) * 4 + x % 4)"))
     shape = planes.rgb8(spark, sf).groupBy("img", *tile()).agg(F.sum(F.when(on, bit).otherwise(0)).alias("bits"), F.count_if(on).alias("ink"), F.count("*").alias("m")).filter("m = 16")
     return shape.filter((F.col("img") % 2 == 0) | (F.col("ink") > 8)).select("bits").distinct()
+
+
+@query("set03_merged_spans", """WITH o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 30 AS b FROM orders), m AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS span FROM m) SELECT o_custkey, CAST(span AS BIGINT) AS span, count(*) AS merged, CAST(max(b) - min(a) AS BIGINT) AS days FROM i GROUP BY o_custkey, span""")
+def _(spark, sf):
+    """Spans joined for as long as any overlap: in order of their starts a new one begins where none before reaches; no join, no rounds."""
+    start = F.col("o_orderdate").cast("date")
+    o = planes.table(spark, sf, "orders").select("o_custkey", start.alias("a"), F.date_add(start, 30).alias("b"))
+    w = W.partitionBy("o_custkey").orderBy("a", "b")
+    m = o.withColumn("reach", F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    i = m.withColumn("span", F.sum(F.when(F.col("reach").isNull() | (F.col("a") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return i.groupBy("o_custkey", "span").agg(F.count("*").alias("merged"), F.datediff(F.max("b"), F.min("a")).cast("long").alias("days"))

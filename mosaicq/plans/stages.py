@@ -36,6 +36,23 @@ def _(spark, sf):
     return b.withColumn("start", table + before)
 
 
+# Options of a frame as bits of a part's key, and what the format's header spends on them.
+_OPTIONS = "o AS (SELECT p_partkey, p_partkey & 1 AS noise, (p_partkey >> 1) & 1 AS patches, (p_partkey >> 2) & 1 AS splines, (p_partkey >> 3) & 1 AS dc, (p_partkey >> 4) & 1 AS rough, (p_partkey >> 5) & 1 AS alpha, (p_partkey >> 6) & 1 AS xyb, ((p_partkey >> 7) & 1) * ((p_partkey >> 5) & 1) AS added, 1 + p_size % 11 AS passes FROM part)"
+_FLAGS = "noise + 2 * patches + 16 * splines + 32 * dc + 128 * rough * (1 - dc)"
+_HEADER = """4 + CASE WHEN flags = 0 THEN 2 WHEN flags <= 16 THEN 6 ELSE 10 END + CASE WHEN xyb = 1 THEN 6 ELSE 1 END + CASE WHEN dc = 1 THEN 0 ELSE 2 + 2 * alpha END
+ + CASE WHEN passes = 1 THEN 2 WHEN passes < 4 THEN 4 + 2 * (passes - 1) ELSE 7 + 2 * (passes - 1) END + 1 + 2 + 2 * added + alpha * (2 + 2 * added) + 1 + 2 + 2"""
+
+
+@query("snk07_frame_headers", f"WITH {_OPTIONS}, f AS (SELECT *, {_FLAGS} AS flags FROM o) SELECT p_partkey, CAST(flags AS BIGINT) AS flags, CAST({_HEADER} AS BIGINT) AS bits FROM f")
+def _(spark, sf):
+    """Bits of a frame's header by its options, without the loop filter's."""
+    bit = lambda k: F.shiftright("p_partkey", k).bitwiseAND(F.lit(1))
+    names = ("noise", "patches", "splines", "dc", "rough", "alpha", "xyb")
+    o = planes.table(spark, sf, "part").select("p_partkey", *[bit(k).alias(n) for k, n in enumerate(names)], (bit(7) * bit(5)).alias("added"), (F.col("p_size") % 11 + 1).alias("passes"))
+    f = o.withColumn("flags", F.expr(_FLAGS))
+    return f.select("p_partkey", F.col("flags").cast("long").alias("flags"), F.expr(_HEADER).cast("long").alias("bits"))
+
+
 @query("snk01_bit_writer", f"""WITH {_RES}, t AS (SELECT img, i, c, token, coalesce(sum(9) OVER (PARTITION BY img ORDER BY i, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM res)
 SELECT img, CAST(ceil(count(*) * 9 / 8.0) AS BIGINT) AS bytes, CAST(sum(token * (1::BIGINT << CAST(pos % 31 AS INTEGER)) % 2147483647) % 2147483647 AS BIGINT) AS remainder FROM t GROUP BY img""")
 def _(spark, sf):

@@ -62,6 +62,15 @@ def _(spark, sf):
     return out.select("img", "c", "i", "ref", F.abs("v").alias("size"), F.col("v").alias("value"), F.abs(F.col("v") - F.col("g")).alias("error"), (F.col("v") - F.col("g")).alias("rest"))
 
 
+@query("join05_earlier_channels", f"WITH {YCC} SELECT a.img, a.c, b.c AS ref, count(*) AS n, CAST(sum(abs(a.v - b.v)) AS BIGINT) AS apart, CAST(sum(a.v * b.v) AS BIGINT) AS product FROM ych a JOIN ych b ON a.img = b.img AND a.x = b.x AND a.y = b.y AND b.c < a.c GROUP BY a.img, a.c, b.c")
+def _(spark, sf):
+    """Each channel beside those before it at the same place; a pixel's channels are one row, so nothing is joined."""
+    wide = ycc(spark, sf).groupBy("img", "x", "y").agg(*[F.max(F.when(F.col("c") == k, F.col("v"))).alias(f"v{k}") for k in range(3)])
+    rows = [F.struct(F.lit(c).alias("c"), F.lit(r).alias("ref"), F.col(f"v{c}").alias("a"), F.col(f"v{r}").alias("b")) for c in range(3) for r in range(c)]
+    t = wide.select("img", F.explode(F.array(*rows)).alias("t")).select("img", "t.*")
+    return t.groupBy("img", "c", "ref").agg(F.count("*").alias("n"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("apart"), F.sum(F.col("a") * F.col("b")).alias("product"))
+
+
 @query("win06_activity_buckets", f"""WITH {_NB}, {gradient_residual()}, lagged AS (SELECT *, coalesce(CASE WHEN x > 0 THEN lag(abs(e)) OVER (PARTITION BY img, c ORDER BY i) END, 0) AS act FROM res),
 t AS (SELECT * FROM (VALUES (8), (16), (24), (32), (48), (64), (96)) AS v(t)),
 h AS (SELECT c, t, CASE WHEN act < t // 4 THEN 0 WHEN act < t THEN 1 ELSE 2 END AS bucket, token, count(*) AS n FROM lagged, t GROUP BY ALL),

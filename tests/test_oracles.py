@@ -60,3 +60,14 @@ def test_scans_read_only_their_columns(spark):
     plan = QUERIES["agg24_folder_means"](spark, SF)._jdf.queryExecution().toString()
     schema = plan[plan.rindex("ReadSchema") :]
     assert "l_shipdate" not in schema and "l_partkey" not in schema
+
+
+def test_command_line_lists_runs_and_writes(spark, tmp_path, capsys):
+    from mosaicq.__main__ import main
+
+    assert main(["list", "--like", "agg0"]) == 0 and "agg09_palette" in capsys.readouterr().out
+    assert main(["run", "agg09_palette", "--tables", SF, "--sql"]) == 0 and "SELECT" in capsys.readouterr().out
+    assert main(["run", "agg09_palette", "--tables", SF + "/", "--out", str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == QUERIES["agg09_palette"](spark, SF).count()
+    with pytest.raises(SystemExit):
+        main(["run", "no such query", "--tables", SF])
