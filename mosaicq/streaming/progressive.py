@@ -26,12 +26,14 @@ def rates(stream: DataFrame, late: str = "1 hour", width: str = "1 day") -> Data
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its result table."""
+    """Runs a stream over all that is there and returns its result table, which every batch writes anew."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="mosaicq-stream-")  # one machine
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    out = f"{folder}/{name}-result"
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)
