@@ -1,11 +1,10 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most two bits differ in at most two of their eight bytes, so
-they share at least six (position, byte) entries. A list per single entry would hold 1/256 of all
-fingerprints; the index therefore keeps one list for every choice of six positions with their six bytes.
-A list holds exactly the fingerprints whose tally reaches the minimum through those positions, and at most
-65,536 of them, since distinct fingerprints can only differ in the two bytes left. Candidates get their
-tally of shared bytes, pairs below the minimum go, the rest are verified by their differing bits.
+Two 64-bit fingerprints that differ in at most two bits differ in at most two of their eight bytes, so they share at least
+SHARED = 6 positional bytes, and at least FIXED = 5 of those at the first seven positions. The index has a list for every
+choice of five of these positions with their five bytes: a list for a single byte would hold 1/256 of all fingerprints, one
+for five holds 2**24 at most, whatever the input. Pairs that meet in a list get their tally of shared positional bytes over
+all eight positions, those below the minimum go, the rest are verified by their differing bits.
 """
 
 from __future__ import annotations
@@ -20,12 +19,13 @@ from pyspark.sql import functions as F
 
 from mosaicq.llm.common import cut, table, texts
 from mosaicq.llm.components import components
+from mosaicq.llm.filters import free_name, without
 
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-#: Byte positions that an index list fixes: eight less one for each bit that may differ.
-SHARED = 8 - MAX_BITS
+#: Positional bytes that near fingerprints share at least, and those that an index list fixes, of the first seven.
+SHARED, FIXED = 8 - MAX_BITS, 7 - MAX_BITS
 #: Lists up to this length are compared pair by pair, longer ones by flipping bits; both are exact.
 PAIRWISE = 256
 
@@ -62,14 +62,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index entries: a list's key is its choice of positions (above bit 48) with the bytes there."""
-    choices = list(combinations(range(8), SHARED))
+    """Index entries: a list's key is its choice of positions (above bit 40) with the bytes there."""
+    choices = list(combinations(range(7), FIXED))
     for b in batches:
         own = np.ascontiguousarray(b["fp"].to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint8).reshape(-1, 8)
         keys = np.zeros((len(choices), len(own), 8), np.uint8)
         for i, at in enumerate(choices):
-            keys[i, :, :SHARED] = own[:, at]
-            keys[i, :, SHARED] = i
+            keys[i, :, :FIXED] = own[:, at]
+            keys[i, :, FIXED] = i
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(own.reshape(-1).view(np.int64), len(choices)))], ["key", "fp"])
 
 
@@ -86,7 +86,7 @@ def _links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Verified links among the distinct fingerprints of one list."""
     if len(members) <= PAIRWISE:
         i, j = np.triu_indices(len(members), 1)
-    else:  # members differ in two bytes at most, so each reaches its partners by flipping one or two of those bits
+    else:  # members differ in three bytes at most, so each reaches its partners by flipping one or two of those bits
         free = np.bitwise_or.reduce(members ^ members[0])
         bits = [np.uint64(1) << np.uint64(k) for k in range(64) if int(free) >> k & 1]
         masks = bits + [x | y for x, y in combinations(bits, 2)]
@@ -174,15 +174,18 @@ def first_of_group(docs: DataFrame) -> DataFrame:
     Of rows that share a kept doc_id one stays, that of the least text. Rows without a doc_id stay, as nothing names them.
     """
     named = cut(near_duplicates(docs))
-    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("m_gone")).distinct()
+    gone = named.filter("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
     key = F.col("doc_id").cast("long")
-    left = docs.join(gone, key == F.col("m_gone"), "left_anti")
-    twice = named.groupBy(F.col("doc_id").alias("m_twice")).agg(F.count("*").alias("n")).filter("n > 1 and m_twice is not null").select("m_twice")
+    left = without(docs, key, gone)
+    twice = cut(named.filter("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     if twice.isEmpty():
         return left
-    row = F.struct(F.coalesce(F.col("text"), F.lit("")), F.struct(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    own = left.join(twice, key == F.col("m_twice"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), row).alias("m_row"))
-    return left.join(twice, key == F.col("m_twice"), "left_anti").unionByName(own.select("m_row.*"))
+    own_key, whole = (free_name(docs, x) for x in ("m_key", "m_whole"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.coalesce(F.col("text"), F.lit("")), F.struct(*[c.cast("string") for c in columns]))
+    repeated = left.withColumn(own_key, key).join(twice, F.col(own_key) == twice["key"], "left_semi")
+    first = repeated.groupBy(own_key).agg(F.min_by(F.struct(*columns), order).alias(whole))
+    return without(left, key, twice).unionByName(first.select(f"{whole}.*"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
