@@ -317,7 +317,7 @@ def _(spark, sf):
     return planes.vectors(spark, sf).groupBy(F.col("block").alias("vec_id")).agg(*[F.round(F.sum(e), 5).alias(n) for n, e in parts.items()])
 
 
-@query("prj26_compositing", f"WITH {RGB} SELECT img, i, {_with(*[f'({c} * (c1 * 25) + 128 * (255 - c1 * 25) + 127) // 255 AS {c}' for c in 'rgb'])} FROM (SELECT rgb.*, px.c1 FROM rgb JOIN px USING (img, i))")
+@query("prj26_compositing", f"WITH {RGB} SELECT img, i, {_with(*[f'({c} * g + 128 * (255 - g) + 127) // 255 AS {c}' for c in 'rgb'])} FROM rgb")
 def _(spark, sf):
     return planes.rgb8(spark, sf).select(*KEY, *[color.blend(F.col(c), F.lit(128), F.col("g")).alias(c) for c in "rgb"])
 

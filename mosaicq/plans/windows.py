@@ -52,8 +52,8 @@ def _(spark, sf):
     return neighbours(ycc(spark, sf)).select("img", "c", "i", *[p.alias(f"q{k}") for k, p in properties().items()])
 
 
-@query("win05_reference_properties", f"""WITH {_NB}, g AS (SELECT img, c, i, v, least(greatest(w + n - nw, least(w, n)), greatest(w, n)) AS g FROM nb)
-SELECT a.img, a.c, a.i, b.c AS ref, abs(b.v) AS size, b.v AS value, abs(b.v - b.g) AS error, b.v - b.g AS rest FROM g a JOIN g b ON a.img = b.img AND a.i = b.i AND b.c < a.c""")
+@query("win05_reference_properties", f"""WITH {_NB}, g AS (SELECT img, c, i, v, v - least(greatest(w + n - nw, least(w, n)), greatest(w, n)) AS e FROM nb),
+r AS (SELECT img, i, unnest(range(c + 1, 3)) AS c, c AS ref, v, e FROM g) SELECT img, c, i, ref, abs(v) AS size, v AS value, abs(e) AS error, e AS rest FROM r""")
 def _(spark, sf):
     """Three channels of a pixel meet in one row, so earlier channels need no join."""
     g = neighbours(ycc(spark, sf)).withColumn("g", predictors()[5]).groupBy("img", "i").agg(*[F.max(F.when(F.col("c") == k, F.struct("v", "g"))).alias(f"k{k}") for k in range(3)])
