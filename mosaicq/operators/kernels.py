@@ -588,3 +588,17 @@ def cheapest_rounding(t: np.ndarray, price, rate: float) -> float:
         cost = (v - level) ** 2 + (cost[:, None] + rate * price(level[None, :] - before[:, None])).min(axis=0)
         before = level
     return float(cost.min())
+
+
+def packed_bits(values: list[int]) -> tuple[int, list[tuple[int, int, int]]]:
+    """Bits of a byte string under a greedy parse whose literals, lengths and distances have a prefix code each, and the parse.
+
+    Lengths and distances are coded by magnitude with their lower bits as they are; a code's table takes five bits a symbol."""
+    tokens = lz_parse(values)
+    literals = [v for v, n, _ in tokens if not n]
+    lengths, distances = [n for _, n, _ in tokens if n], [d for _, n, d in tokens if n]
+    total = 0
+    for symbols, raw in ((literals, 0), ([n.bit_length() for n in lengths], sum(n.bit_length() - 1 for n in lengths)), ([d.bit_length() for d in distances], sum(d.bit_length() - 1 for d in distances))):
+        n = np.bincount(symbols, minlength=1).tolist()
+        total += sum(a * b for a, b in zip(n, huffman_depths(n), strict=True)) + raw + 5 * sum(x > 0 for x in n)
+    return total + len(tokens), tokens

@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from mosaicq.operators import kernels as kernel
 from mosaicq.plans.blocks import _Q, quantised
 from mosaicq.plans.catalog import query
-from mosaicq.sources import jpeg, planes
+from mosaicq.sources import bundles, jpeg, planes
 
 #: Blocks side by side in one file.
 ACROSS = 16
@@ -73,3 +74,38 @@ def _(spark, sf):
 
     pages = planes.table(spark, sf, "pages").filter("html <> '' and url is not null").select("page_id", "html", "url")
     return pages.mapInPandas(run, "page_id long, segments long, icc_bytes long, icc_md5 string, xmp string, exif_bytes long")
+
+
+@query("snk11_gain_map_bundles", """SELECT page_id, 8 + octet_length(encode(url)) + page_id % 7 + octet_length(encode(html)) AS bytes, url AS metadata, page_id % 7 AS profile_bytes, md5(html) AS image_md5 FROM pages WHERE html IS NOT NULL AND url IS NOT NULL""")
+def _(spark, sf):
+    """A gain map's parts, bundled and taken apart again."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for page, html, url in zip(pdf["page_id"], pdf["html"], pdf["url"], strict=True):
+                bundle = bundles.write(url.encode(), html.encode(), b"p" * (page % 7))
+                own = bundles.read(bundle)
+                rows.append((page, len(bundle), own["metadata"].decode(), len(own["profile"]), hashlib.md5(own["image"]).hexdigest()))
+            yield pd.DataFrame(rows, columns=["page_id", "bytes", "metadata", "profile_bytes", "image_md5"])
+
+    pages = planes.table(spark, sf, "pages").filter("html is not null and url is not null").select("page_id", "html", "url")
+    return pages.mapInPandas(run, "page_id long, bytes long, metadata string, profile_bytes long, image_md5 string")
+
+
+@query("snk09_packed_blobs")
+def _(spark, sf):
+    """Metadata packed by copies and three prefix codes; stored as it is where that is no smaller."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
+                raw = html.encode()
+                bits, tokens = kernel.packed_bits(list(raw))
+                size = min(len(raw), -(-bits // 8)) + 4
+                rows.append((page, len(raw), size, -(-bits // 8) < len(raw), bytes(kernel.lz_expand(tokens)) == raw))
+            yield pd.DataFrame(rows, columns=["page_id", "plain", "bytes", "packed", "restored"])
+
+    pages = planes.table(spark, sf, "pages").filter("html is not null").select("page_id", "html")
+    return pages.mapInPandas(run, "page_id long, plain long, bytes long, packed boolean, restored boolean")

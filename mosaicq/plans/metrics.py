@@ -70,15 +70,63 @@ def reconstruction(spark, sf):
     return raw_channels(spark, sf).select("img", "c", "i", "x", "y", F.col("v").cast("double").alias("a"), (F.expr("v div 6") * 6 + 3).cast("double").alias("b"))
 
 
-@query("met04_luma_proxy", f"""WITH {_REC}, h AS (SELECT img, x // 2 AS x, y // 2 AS y, avg(a) AS a, avg(b) AS b FROM e WHERE c = 1 GROUP BY ALL), q AS (SELECT img, x // 2 AS x, y // 2 AS y, avg(a) AS a, avg(b) AS b FROM h GROUP BY img, x // 2, y // 2)
-SELECT img, round(h1, 6) AS half_mean, round(h4, 6) AS half_fourth, round(q1, 6) AS quarter_mean FROM (SELECT img, avg(abs(a - b)) AS h1, pow(avg(pow(a - b, 4)), 0.25) AS h4 FROM h GROUP BY img) JOIN (SELECT img, avg(abs(a - b)) AS q1 FROM q GROUP BY img) USING (img)""")
+# What the six terms weigh - structure at a quarter and at half the size, its fourth norm, and the gradients' error, excess and loss.
+WEIGHTS = (109.4163228369586, 4.685925102200196, 2.491781270704224, 2.167275675983448, 4.55227651921194, 2.847714678987977)
+_MOMENTS = {"n": "1", "a": "a", "b": "b", "aa": "a * a", "bb": "b * b", "ab": "a * b"}
+
+
+def _structure(unit: float) -> str:
+    """One less the structural similarity from a window's integer sums, whose samples are `unit` for white."""
+    mean, var = "({0}::DOUBLE / n / {1!r}::DOUBLE)", "greatest(({0}{0}::DOUBLE / n - pow({0}::DOUBLE / n, 2)) / {1!r}::DOUBLE, 0.0::DOUBLE)"
+    cov = f"((ab::DOUBLE / n - (a::DOUBLE / n) * (b::DOUBLE / n)) / {unit * unit!r}::DOUBLE)"
+    apart = f"pow({mean.format('a', unit)} - {mean.format('b', unit)}, 2)"
+    return f"greatest(1 - (1 - {apart}) * (2 * {cov} + 0.0009::DOUBLE) / ({var.format('a', unit * unit)} + {var.format('b', unit * unit)} + 0.0009::DOUBLE), 0.0::DOUBLE)"
+
+
+def _scale_sql(name: str, source: str, unit: float) -> str:
+    sums = lambda over, own: ", ".join(f"CAST(sum({e if own else k}) OVER {over} AS BIGINT) AS {k}" for k, e in _MOMENTS.items())
+    return f"""{name} AS (SELECT img, x // 2 AS x, y // 2 AS y, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM {source} GROUP BY img, x // 2, y // 2 HAVING count(*) = 4),
+{name}r AS (SELECT img, x, y, {sums('(PARTITION BY img, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', True)} FROM {name}),
+{name}w AS (SELECT img, {sums('(PARTITION BY img, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', False)} FROM {name}r),
+{name}p AS (SELECT img, avg(s) AS mean, pow(avg(pow(s, 4)), 0.25) AS fourth FROM (SELECT img, {_structure(unit)} AS s FROM {name}w) GROUP BY img)"""
+
+
+_GRADIENT = "avg(abs(db - da)) / 255 AS error, avg(greatest(abs(db) - abs(da), 0)) / 255 AS excess, pow(avg(pow(greatest(abs(da) - abs(db), 0) / 255.0, 4)), 0.25) AS loss"
+
+
+@query("met04_luma_proxy", f"""WITH {LONG}, e AS (SELECT img, i, x, y, v AS a, (v // 6) * 6 + 3 AS b FROM ch WHERE c = 1), {_scale_sql('half', 'e', 1020.0)}, {_scale_sql('quart', 'half', 4080.0)},
+t AS (SELECT img, CASE WHEN x < 31 THEN lead(a) OVER w END - a AS ra, CASE WHEN x < 31 THEN lead(b) OVER w END - b AS rb, lead(a, 32) OVER w - a AS ua, lead(b, 32) OVER w - b AS ub FROM e WINDOW w AS (PARTITION BY img ORDER BY i)),
+g AS (SELECT img, {_GRADIENT} FROM (SELECT img, ra AS da, rb AS db FROM t WHERE ra IS NOT NULL UNION ALL SELECT img, ua, ub FROM t WHERE ua IS NOT NULL) GROUP BY img)
+SELECT img, round(q.mean, 6) AS quarter, round(h.mean, 6) AS half, round(h.fourth, 6) AS half_fourth, round(error, 6) AS error, round(excess, 6) AS excess, round(loss, 6) AS loss,
+round({WEIGHTS[0]!r}::DOUBLE * q.mean + {WEIGHTS[1]!r}::DOUBLE * h.mean + {WEIGHTS[2]!r}::DOUBLE * h.fourth + {WEIGHTS[3]!r}::DOUBLE * error + {WEIGHTS[4]!r}::DOUBLE * excess + {WEIGHTS[5]!r}::DOUBLE * loss, 4) AS score FROM quartp q JOIN halfp h USING (img) JOIN g USING (img)""")
 def _(spark, sf):
-    """Errors pooled over half and quarter scale; the quarter scale comes from the half, and both from one pass."""
-    d = F.col("a") - F.col("b")
-    h = reconstruction(spark, sf).filter("c = 1").groupBy("img", F.expr("x div 2").alias("x"), F.expr("y div 2").alias("y")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
-    q = h.groupBy("img", F.expr("x div 2").alias("x"), F.expr("y div 2").alias("y")).agg(F.avg(d).alias("d"), F.sum(F.abs(d)).alias("s1"), F.sum(F.pow(d, F.lit(4.0))).alias("s4"), F.count("*").alias("n"))
-    out = q.groupBy("img").agg((F.sum("s1") / F.sum("n")).alias("h1"), F.pow(F.sum("s4") / F.sum("n"), F.lit(0.25)).alias("h4"), F.avg(F.abs("d")).alias("q1"))
-    return out.select("img", F.round("h1", 6).alias("half_mean"), F.round("h4", 6).alias("half_fourth"), F.round("q1", 6).alias("quarter_mean"))
+    """Structure lost at half and quarter size, in windows of five by five cut at the edges, and gradients lost or added at full size.
+
+    Window sums are whole numbers; the quarter comes from the half."""
+    e = raw_channels(spark, sf).filter("c = 1").select("img", "c", "i", "x", "y", F.col("v").alias("a"), (F.expr("v div 6") * 6 + 3).alias("b"))
+
+    def smaller(px):
+        cells = px.groupBy("img", F.expr("x div 2").alias("x"), F.expr("y div 2").alias("y")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("m"))
+        return cells.filter("m = 4").drop("m")
+
+    def pooled(cells, unit: float, name: str):
+        row, col = (W.partitionBy("img", p).orderBy(q).rowsBetween(-2, 2) for p, q in (("y", "x"), ("x", "y")))
+        sums = cells.select("img", "x", "y", *[F.sum(F.expr(m)).over(row).alias(k) for k, m in _MOMENTS.items()])
+        sums = sums.select("img", *[F.sum(k).over(col).alias(k) for k in _MOMENTS])
+        lost = F.expr(_structure(unit))
+        return sums.select("img", lost.alias("s")).groupBy("img").agg(F.avg("s").alias(f"{name}_mean"), F.pow(F.avg(F.pow("s", F.lit(4.0))), F.lit(0.25)).alias(f"{name}_fourth"))
+
+    half = smaller(e)
+    h, q = pooled(half, 1020.0, "h"), pooled(smaller(half), 4080.0, "q")
+    w = W.partitionBy("img").orderBy("i")
+    right = [(F.when(F.col("x") < planes.WIDTH - 1, F.lead(k).over(w)) - F.col(k)).alias(f"r{k}") for k in "ab"]
+    under = [(F.lead(k, planes.WIDTH).over(w) - F.col(k)).alias(f"u{k}") for k in "ab"]
+    t = e.select("img", *right, *under).select("img", F.expr("stack(2, ra, rb, ua, ub) AS (da, db)")).filter("da is not null")
+    g = t.groupBy("img").agg(F.expr("avg(abs(db - da)) / 255").alias("error"), F.expr("avg(greatest(abs(db) - abs(da), 0)) / 255").alias("excess"), F.expr("pow(avg(pow(greatest(abs(da) - abs(db), 0) / 255.0D, 4)), 0.25D)").alias("loss"))
+    terms = [F.col(k) for k in ("q_mean", "h_mean", "h_fourth", "error", "excess", "loss")]
+    score = sum((x * v for x, v in zip(terms[1:], WEIGHTS[1:], strict=True)), terms[0] * WEIGHTS[0])
+    names = ("quarter", "half", "half_fourth", "error", "excess", "loss")
+    return q.join(h, "img").join(g, "img").select("img", *[F.round(x, 6).alias(n) for x, n in zip(terms, names, strict=True)], F.round(score, 4).alias("score"))
 
 
 @query("met05_quality_gate", f"WITH {_REC}, s AS (SELECT img, c, max(abs(a - b)) AS most, avg((a - b) * (a - b)) AS mse FROM e GROUP BY ALL) SELECT img, round(max(mse), 6) AS worst, max(most) AS most, max(most) <= 3 AND max(mse) <= 4 AS passed FROM s GROUP BY img")
@@ -88,6 +136,7 @@ def _(spark, sf):
     return s.groupBy("img").agg(F.round(F.max("mse"), 6).alias("worst"), F.max("most").alias("most"), ((F.max("most") <= 3) & (F.max("mse") <= 4)).alias("passed"))
 
 
+# The luma weights, the texture of 0.0231 that counts as one, and the exponents below and above it.
 @query("sup13_texture_factor", f"""WITH {LONG}, l AS (SELECT img, y, x, 0.2126 * r / 255 + 0.7152 * g / 255 + 0.0722 * b / 255 AS l FROM rgb), d AS (SELECT img, abs(l - lag(l) OVER (PARTITION BY img, y ORDER BY x)) AS d FROM l), m AS (SELECT img, avg(d) / 0.0231 AS k FROM d GROUP BY img)
 SELECT img, round(least(greatest(pow(k, CASE WHEN k < 1 THEN 0.16 ELSE 0.08 END), 0.5), 2.0), 6) AS factor FROM m""")
 def _(spark, sf):

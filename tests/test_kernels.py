@@ -170,3 +170,62 @@ def test_jpeg_reads_restarts_and_sampling():
     data = b"\xff\xd8" + jpeg._segment(jpeg.DRI, b"\x00\x01") + frame + one(0, [0, 1]) + one(16, [0, 1]) + scan + raw[0] + b"\xff\xd0" + raw[1] + b"\xff\xd9"
     got = jpeg.coefficients(data)
     assert got[1][:, :, 0].tolist() == [[1, 1, -1, -2]] and got[2][:, :, 0].tolist() == [[-1, 0]]
+
+
+def test_bundles_come_apart_as_they_were_put_together():
+    from mosaicq.sources import bundles
+
+    whole = bundles.write(b"meta", b"image", b"profile", 3)
+    assert bundles.read(whole) == {"version": 3, "metadata": b"meta", "profile": b"profile", "image": b"image"}
+    for cut in (0, 2, 5, 9, 14):
+        with pytest.raises(ValueError):
+            bundles.read(whole[:cut])
+    with pytest.raises(ValueError):
+        bundles.write(b"m" * (1 << 16), b"")
+
+
+def test_packing_restores_and_pays_for_repeats():
+    text = list(b"abcabcabcabcabcabcabcabcabcabcabcabcabcabcabcabc" * 8)
+    bits, tokens = k.packed_bits(text)
+    assert k.lz_expand(tokens) == text and bits < 8 * len(text) / 10
+    assert k.packed_bits([])[0] == 0 and k.packed_bits([7])[0] > 0
+
+
+def test_clusters_are_no_worse_after_moves_and_merges():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 40, (10, 12)) * (rng.random((10, 12)) < 0.4)
+    start = [int(x) for x in rng.integers(0, 4, 10)]
+    done = k.refine_clusters(counts, start)
+    assert k.cluster_bits(counts, done) <= k.cluster_bits(counts, start)
+    best = min(k.cluster_bits(counts[:5], list(x)) for x in itertools.product(range(3), repeat=5))
+    assert k.cluster_bits(counts[:5], k.refine_clusters(counts[:5], [0, 1, 2, 0, 1])) <= best * 1.05
+
+
+def test_rounding_chains_match_all_choices():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        t = rng.random(7) * 9
+        price = lambda d: np.log2(1 + np.abs(d))
+        best = min(
+            sum((v - q) ** 2 + 0.3 * price(q - p) for v, q, p in zip(t, own, (0, *own), strict=False))
+            for own in itertools.product(*[(np.floor(v), np.floor(v) + 1) for v in t])
+        )
+        assert abs(k.cheapest_rounding(t, price, 0.3) - best) < 1e-9
+
+
+def test_improved_paths_are_near_the_best():
+    rng = np.random.default_rng(6)
+    for _ in range(5):
+        p = rng.random((8, 2))
+        cost = np.sqrt(((p[:, None] - p[None, :]) ** 2).sum(axis=2))
+        total, path = k.improved_path(cost)
+        assert sorted(path) == list(range(8)) and total <= k.shortest_path(cost)[0] * 1.25
+
+
+def test_trees_pay_for_the_best_predictor_and_prune():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 10, (400, 2))
+    symbols = np.stack((np.where(x[:, 0] > 4, 3, rng.integers(0, 8, 400)), np.where(x[:, 0] > 4, rng.integers(0, 8, 400), 5)), axis=1)
+    leaves = k.tree_leaves(k.grow_tree(x, symbols, 4))
+    assert sum(t[2] for t in leaves) == 0  # each side has a predictor that leaves one symbol
+    assert len(k.tree_leaves(k.grow_tree(x, symbols, 4, price=1e9))) == 1
