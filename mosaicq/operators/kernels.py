@@ -143,6 +143,58 @@ def ans_counts(counts: list[int], table: int = 4096) -> list[int]:
     return out
 
 
+def allowed_counts(shift: int, bits: int = 12) -> np.ndarray:
+    """The counts that a table of 2**bits can tell at this precision: of each magnitude only so many leading bits may be set."""
+    out = {0}
+    for n in range(1, 1 << bits):
+        log = n.bit_length() - 1
+        kept = max(0, min(log, shift - ((bits - log) >> 1)))
+        if n & ((1 << (log - kept)) - 1) == 0:
+            out.add(n)
+    return np.array(sorted(out))
+
+
+def limited_counts(counts: list[int], shift: int, bits: int = 12) -> tuple[list[int], float]:
+    """Counts scaled to 2**bits of which all but the largest are allowed at a precision, and the data's bits under them.
+
+    The largest takes what the others leave. They start at the allowed count nearest to their share; then the step of one of them to
+    a neighbouring count that saves most is taken, for as long as one saves anything."""
+    table, allowed = 1 << bits, allowed_counts(shift, bits)
+    used = [k for k, n in enumerate(counts) if n]
+    out = [0] * len(counts)
+    if not used:
+        return out, 0.0
+    total, top = sum(counts), max(used, key=lambda k: (counts[k], -k))
+    others = [k for k in used if k != top]
+    places = allowed[1:]
+    at = {k: int(np.abs(places - counts[k] * table / total).argmin()) for k in others}
+    while sum(places[i] for i in at.values()) >= table:  # the smallest leave it at the least
+        k = max(at, key=lambda k: (places[at[k]], -k))
+        at[k] -= 1
+
+    def cost() -> float:
+        rest = table - sum(int(places[i]) for i in at.values())
+        return sum(counts[k] * np.log2(table / places[i]) for k, i in at.items()) + counts[top] * np.log2(table / rest)
+
+    best = cost()
+    while True:
+        found = (best - 1e-9, -1, 0)
+        for k in others:
+            for step in (-1, 1):
+                if 0 <= at[k] + step < len(places) and sum(int(places[i]) for i in at.values()) - places[at[k]] + places[at[k] + step] < table:
+                    at[k] += step
+                    found = min(found, (cost(), k, step))
+                    at[k] -= step
+        if found[1] < 0:
+            break
+        best = found[0]
+        at[found[1]] += found[2]
+    for k, i in at.items():
+        out[k] = int(places[i])
+    out[top] = table - sum(out)
+    return out, float(best)
+
+
 def rans_encode(symbols: list[int], freq: list[int], bits: int = 12) -> tuple[int, list[int]]:
     """A range-coded stream: final state and 16-bit words, from the last symbol to the first."""
     start = np.cumsum([0, *freq]).tolist()

@@ -161,20 +161,26 @@ def _(spark, sf):
 
 # containers -------------------------------------------------------------------------------------------------------
 
-_BOXES = "b AS (SELECT page_id AS file, k AS pos, CASE k WHEN 0 THEN 'JXL ' WHEN 1 THEN 'ftyp' WHEN 2 THEN 'Exif' ELSE 'jxlc' END AS kind, 8 + CASE k WHEN 0 THEN 4 WHEN 1 THEN 12 WHEN 2 THEN length(url) ELSE length(html) END AS size FROM pages, range(4) AS t(k))"
+# A container's boxes in order: kind, when it is there, and the bytes that it holds. A level box only declares level 10.
+_KINDS = (
+    ("JXL ", "true", "4"), ("ftyp", "true", "12"), ("jxll", "page_id % 3 = 0", "1"), ("jhgm", "page_id % 5 = 0", "octet_length(encode(url)) + 8"),
+    ("Exif", "url IS NOT NULL", "octet_length(encode(url)) + 4"), ("xml ", "page_id % 2 = 0", "octet_length(encode(url)) * 2"), ("jxlc", "true", "octet_length(encode(html))"),
+)
+_BOXES = "b AS (" + " UNION ALL ".join(f"SELECT page_id AS file, {k} AS place, '{n}' AS kind, 8 + {size} AS size FROM pages WHERE html IS NOT NULL AND {there}" for k, (n, there, size) in enumerate(_KINDS)) + ")"
 
 
 def boxes(spark, sf):
-    """(file, pos, kind, size) of a container around each page."""
-    own = [("JXL ", F.lit(4)), ("ftyp", F.lit(12)), ("Exif", F.length("url")), ("jxlc", F.length("html"))]
-    rows = F.posexplode(F.array(*[F.struct(F.lit(k).alias("kind"), (n + 8).cast("long").alias("size")) for k, n in own]))
-    return planes.table(spark, sf, "pages").select(F.col("page_id").alias("file"), rows.alias("pos", "b")).select("file", F.col("pos").cast("long").alias("pos"), "b.*")
+    """(file, place, kind, size) of a container around each page; what a page hasn't got has no box."""
+    rows = [F.when(F.expr(there), F.struct(F.lit(k).alias("place"), F.lit(n).alias("kind"), (F.expr(size.replace("encode(url)", "url").replace("encode(html)", "html")) + 8).cast("long").alias("size"))) for k, (n, there, size) in enumerate(_KINDS)]
+    return planes.table(spark, sf, "pages").filter("html is not null").select(F.col("page_id").alias("file"), F.explode(F.array_compact(F.array(*rows))).alias("b")).select("file", "b.*")
 
 
-@query("snk03_container_boxes", f"WITH {_BOXES} SELECT file, pos, kind, size, CAST(coalesce(sum(size) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM b")
+@query("snk03_container_boxes", f"WITH {_BOXES} SELECT file, row_number() OVER w - 1 AS pos, kind, size, CAST(coalesce(sum(size) OVER (PARTITION BY file ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM b WINDOW w AS (PARTITION BY file ORDER BY place)")
 def _(spark, sf):
-    before = W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    return boxes(spark, sf).withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    """Where each box starts; boxes tile the file."""
+    w = W.partitionBy("file").orderBy("place")
+    b = boxes(spark, sf).withColumns({"pos": (F.row_number().over(w) - 1).cast("long"), "start": F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    return b.select("file", "pos", "kind", "size", "start")
 
 
 @query("snk04_metadata_boxes", "SELECT page_id, length(html) AS plain, length(url) * 3 AS packed, CASE WHEN length(url) * 3 < length(html) THEN 'brob' ELSE 'xml ' END AS kind FROM pages")
@@ -183,11 +189,15 @@ def _(spark, sf):
     return planes.table(spark, sf, "pages").select("page_id", plain.alias("plain"), packed.alias("packed"), F.when(packed < plain, "brob").otherwise("xml ").alias("kind"))
 
 
-@query("snk02_size_header", "SELECT p_partkey, p_size * 37 AS side, 2 + CASE WHEN p_size * 37 - 1 < 512 THEN 9 WHEN p_size * 37 - 1 < 8192 THEN 13 WHEN p_size * 37 - 1 < 262144 THEN 18 ELSE 30 END AS bits FROM part")
+def _side(e: str) -> str:
+    return f"CASE WHEN {e} <= 512 THEN 11 WHEN {e} <= 8192 THEN 15 WHEN {e} <= 262144 THEN 20 ELSE 32 END"
+
+
+@query("snk02_size_header", f"WITH p AS (SELECT p_partkey, p_size * 37 AS width, p_partkey * 211 % 400000 + 1 AS height FROM part) SELECT p_partkey, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, 16 + 1 + {_side('height')} + 3 + {_side('width')} AS bits FROM p")
 def _(spark, sf):
-    side = (F.col("p_size") * 37).cast("long")
-    bits = F.when(side - 1 < 512, 9).when(side - 1 < 8192, 13).when(side - 1 < 262144, 18).otherwise(30) + 2
-    return planes.table(spark, sf, "part").select("p_partkey", side.alias("side"), bits.alias("bits"))
+    """A codestream's start: two bytes that name it, no small form, height, no fixed ratio, width."""
+    p = planes.table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 37).cast("long").alias("width"), F.expr("p_partkey * 211 % 400000 + 1").cast("long").alias("height"))
+    return p.withColumn("bits", F.expr(f"20 + {_side('height')} + {_side('width')}"))
 
 
 @query("snk01_bit_totals", f"WITH {LONG} SELECT img, CAST(sum(CASE WHEN v = 0 THEN 1 ELSE length(bin(v)) END) AS BIGINT) AS bits, CAST(ceil(sum(CASE WHEN v = 0 THEN 1 ELSE length(bin(v)) END) / 8.0) AS BIGINT) AS bytes FROM ch GROUP BY img")

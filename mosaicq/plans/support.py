@@ -57,10 +57,20 @@ def _(spark, sf):
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length").orderBy("name")
 
 
-@query("snk05_metadata_bits", "SELECT p_partkey, p_size % 17 AS depth, CASE p_size % 17 WHEN 8 THEN 1 + 2 WHEN 10 THEN 1 + 2 WHEN 12 THEN 1 + 2 ELSE 1 + 2 + 6 END AS bits, p_size % 17 >= 16 AS level10 FROM part")
+# Options of an image as bits of a part's key; its sample depth is one of eight, two of them floats.
+_IMAGE = "o AS (SELECT p_partkey, p_size % 8 AS kind, p_partkey % 8 AS turn, (p_partkey >> 3) & 1 AS alpha, (p_partkey >> 4) & 1 AS xyb, (p_partkey >> 5) & 1 AS bright FROM part)"
+_DEPTH = "CASE kind WHEN 0 THEN 8 WHEN 1 THEN 10 WHEN 2 THEN 12 WHEN 3 THEN 16 WHEN 4 THEN 14 WHEN 5 THEN 9 WHEN 6 THEN 32 ELSE 16 END"
+_DEPTH_BITS = "CASE WHEN kind >= 6 THEN 7 WHEN kind <= 2 THEN 3 ELSE 9 END"
+_METADATA = f"1 + 1 + extra * 6 + {_DEPTH_BITS} + 1 + 2 + alpha + 1 + 1 + extra * CASE WHEN bright = 1 THEN 1 + 16 + 16 + 1 + 16 ELSE 1 END + 2 + 1"
+
+
+@query("snk05_metadata_bits", f"WITH {_IMAGE}, e AS (SELECT *, CASE WHEN turn > 0 OR bright = 1 THEN 1 ELSE 0 END AS extra, {_DEPTH} AS depth FROM o) SELECT p_partkey, CAST(depth AS BIGINT) AS depth, CAST({_METADATA} AS BIGINT) AS bits, kind < 6 AND xyb = 0 AND depth >= 16 AS level10 FROM e")
 def _(spark, sf):
-    d = F.col("p_size") % 17
-    return planes.table(spark, sf, "part").select("p_partkey", d.alias("depth"), F.when(d.isin(8, 10, 12), 3).otherwise(9).alias("bits"), (d >= 16).alias("level10"))
+    """Bits of an image's description: orientation and tone mapping where they aren't plain, depth, extra channel, colour as usual."""
+    bit = lambda k: F.shiftright("p_partkey", k).bitwiseAND(F.lit(1))
+    o = planes.table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 8).alias("kind"), (F.col("p_partkey") % 8).alias("turn"), bit(3).alias("alpha"), bit(4).alias("xyb"), bit(5).alias("bright"))
+    e = o.withColumns({"extra": F.expr("CASE WHEN turn > 0 OR bright = 1 THEN 1 ELSE 0 END"), "depth": F.expr(_DEPTH).cast("long")})
+    return e.select("p_partkey", "depth", F.expr(_METADATA).cast("long").alias("bits"), F.expr("kind < 6 AND xyb = 0 AND depth >= 16").alias("level10"))
 
 
 @query("flt17_primaries_match", f"""WITH m AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {i}, {v!r})" for n in ('srgb', 'p3', 'bt2020') for i, v in enumerate(color.to_srgb_matrix(n).reshape(-1).tolist()))}) AS t(name, k, v)), s AS (SELECT name, max(abs(v - CASE WHEN k IN (0, 4, 8) THEN 1 ELSE 0 END)) AS off FROM m GROUP BY name)

@@ -229,3 +229,22 @@ def test_trees_pay_for_the_best_predictor_and_prune():
     leaves = k.tree_leaves(k.grow_tree(x, symbols, 4))
     assert sum(t[2] for t in leaves) == 0  # each side has a predictor that leaves one symbol
     assert len(k.tree_leaves(k.grow_tree(x, symbols, 4, price=1e9))) == 1
+
+
+def test_limited_counts_match_all_choices():
+    rng = np.random.default_rng(5)
+    for shift in (1, 2, 4):
+        allowed = k.allowed_counts(shift, 6)
+        assert allowed[0] == 0 and set(allowed) <= set(range(64)) and (shift > 3 or len(allowed) < 64)
+        for _ in range(12):
+            n = rng.integers(1, 400, 4).tolist()
+            f, bits = k.limited_counts(n, shift, 6)
+            top = max(range(4), key=lambda i: (n[i], -i))
+            assert sum(f) == 64 and min(f) > 0 and all(f[i] in allowed for i in range(4) if i != top)
+            others = [i for i in range(4) if i != top]
+            best = min(
+                sum(n[i] * np.log2(64 / x) for i, x in zip(others, own)) + n[top] * np.log2(64 / (64 - sum(own)))
+                for own in itertools.product(allowed[1:], repeat=3) if sum(own) < 64
+            )
+            assert best - 1e-9 <= bits <= best * 1.02
+    assert k.limited_counts([0, 0], 4) == ([0, 0], 0.0) and k.limited_counts([0, 9], 4)[0] == [0, 4096]
