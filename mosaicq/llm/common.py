@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,9 +62,16 @@ def stored(df: DataFrame) -> DataFrame:
     """The same by a compressed table in the shared folder, for what is large."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex[:16]}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are written; else they stay until the driver needs memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, so further columns can't clash; a null text is empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -107,13 +115,14 @@ def unpack_chunk(group: pa.Table) -> pa.Table:
 
 
 def by_chunk(packed: DataFrame, n: int) -> DataFrame:
-    """Packed chunks dealt to n partitions and cut there; what groups them by chunk afterwards finds them in place.
+    """Packed chunks, numbered below n, cut in a partition each; what groups them by chunk afterwards finds them in place.
 
     A checkpoint keeps its plan's partitioning unless the plan is adaptive, so this one is not."""
     conf, name = packed.sparkSession.conf, "spark.sql.adaptive.enabled"
     before = conf.get(name)
     conf.set(name, "false")
     try:
-        return cut(packed.repartition(n, "chunk"))
+        return cut(packed.repartitionById(n, F.col("chunk")))
     finally:
         conf.set(name, before)
+        release(packed.sparkSession)
