@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from mosaicq.llm.common import cut, table
 
-SHARD = 4096
-QUERY_BLOCK = 256
+#: Distinct vectors a shard holds: more would take a wider search for the same recall on vectors without near neighbours; queries that travel with a shard's graph at once, and that walk it together.
+SHARD = 8192
+QUERY_BLOCK, WALK = 8192, 256
 K = 20
-LINKS, EF_BUILD, EF_SEARCH, BATCH = 16, 80, 120, 64
+LINKS, EF_BUILD, EF_SEARCH, BATCH = 16, 100, 400, 64
 
 
 class Graph:
@@ -169,6 +170,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, shard: int = SHARD)
         packed = _pack(x=x, rest=rest, ids=np.concatenate(ids), ends=np.cumsum([len(v) for v in ids]), **{f"layer{i}": a for i, a in enumerate(graph.layers)})
         return pa.table({"shard": group["shard"].slice(0, 1), "graph": pa.array([packed], pa.binary())})
 
+    # a graph goes out once with each block of queries, of which there are few
     spread = nodes.select("v", "ids", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.element_at("ids", 1).alias("key"))
     graphs = spread.groupBy("shard").applyInArrow(build, "shard int, graph binary")
 
@@ -185,16 +187,18 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, shard: int = SHARD)
                 x, q, ids, ends = g["x"], asked["q"], g["ids"], g["ends"]
                 starts = np.concatenate(([0], ends[:-1]))
                 graph = Graph((np.column_stack((x, g["rest"])) / lift).astype(np.float32), [g[f"layer{i}"] for i in range(sum(f.startswith("layer") for f in g.files))], 0)
-                hits = graph.search(np.column_stack((q, np.zeros(len(q)))).astype(np.float32), min(EF_SEARCH, len(x)))
                 out = ([], [], [])
-                for own_id, v, hit in zip(asked["ids"].tolist(), q, hits, strict=True):
-                    hit = hit[hit >= 0]
-                    rows = np.concatenate([ids[starts[h] : ends[h]] for h in hit])
-                    score = np.repeat(x[hit] @ v, ends[hit] - starts[hit])
-                    rows, score = rows[rows != own_id], score[rows != own_id]
-                    best = np.lexsort((rows, -score))[:k]
-                    for o, a in zip(out, (np.full(len(best), own_id), rows[best], score[best]), strict=True):
-                        o.append(a)
+                for at in range(0, len(q), WALK):
+                    part = q[at : at + WALK]
+                    hits = graph.search(np.column_stack((part, np.zeros(len(part)))).astype(np.float32), min(EF_SEARCH, len(x)))
+                    for own_id, v, hit in zip(asked["ids"][at : at + WALK].tolist(), part, hits, strict=True):
+                        hit = hit[hit >= 0]
+                        rows = np.concatenate([ids[starts[h] : ends[h]] for h in hit])
+                        score = np.repeat(x[hit] @ v, ends[hit] - starts[hit])
+                        rows, score = rows[rows != own_id], score[rows != own_id]
+                        best = np.lexsort((rows, -score))[:k]
+                        for o, a in zip(out, (np.full(len(best), own_id), rows[best], score[best]), strict=True):
+                            o.append(a)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in out], ["query_id", "vec_id", "score"])
 
     queries = own.filter(F.col("vec_id") % every == 0).select("vec_id", "v").repartition(max(1, -(-n // (every * QUERY_BLOCK)))).mapInArrow(block, "queries binary")

@@ -121,3 +121,18 @@ def test_neighbours_of_hard_vectors(spark):
         order = [k for k in np.lexsort((np.arange(len(x)), -(wide @ wide[q]))).tolist() if k != q][:20]
         hits += len(own & set(order))
     assert hits >= 0.95 * 20 * len(got)
+
+
+@pytest.mark.parametrize("name", ["op7_repeats", "op8_mixing"])
+def test_queries_agree_with_their_sql(spark, name):
+    import duckdb
+
+    from mosaicq.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, sf).toPandas()
+    plain = lambda df: sorted(map(tuple, df[sorted(df.columns)].round(6).itertuples(index=False)))
+    assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
