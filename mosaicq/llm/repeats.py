@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaicq.llm.common import Places, by_chunk, chunk_count, chunk_of, cut, pack_chunks, table, text_bytes, texts, unpack_chunk
+from mosaicq.llm.common import Places, by_chunk, chunk_count, chunk_of, cut, pack_chunks, release, table, text_bytes, texts, unpack_chunk
 from mosaicq.llm.packed import pack_keys, pack_values, split, unpack_keys, unpack_values
 from mosaicq.llm.suffixes import common_prefixes, suffix_array
 
@@ -289,11 +289,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rest = by_chunk(pack_chunks(marked.filter(~is_copy).select("doc_id", "text", chunk_of(n, "sha").alias("chunk"))), n)
     sent = "bucket int, chunk int, sent array<binary>"
     sharing = rest.groupBy("chunk").applyInArrow(lambda g: _sharing(g, n), sent)
-    kinds = cut(sharing.repartition(n, "bucket").groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, kinds binary"))
-    stretches = cut(rest.groupBy("chunk").cogroup(kinds.groupBy("chunk")).applyInArrow(lambda g, a: _stretches(g, a, n), sent))
-    bits = stretches.filter("bucket >= 0").repartition(n, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, sent + ", strings long")
+    kinds = cut(sharing.repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_shared, "chunk int, bucket int, kinds binary"))
+    stretches = cut(rest.groupBy("chunk").cogroup(kinds.repartitionById(n, F.col("chunk")).groupBy("chunk")).applyInArrow(lambda g, a: _stretches(g, a, n), sent))
+    release(docs.sparkSession)
+    bits = stretches.filter("bucket >= 0").repartitionById(n, F.col("bucket")).groupBy("bucket").applyInArrow(_sorted_bucket, sent + ", strings long")
     notes = stretches.filter("bucket < 0").withColumn("strings", F.lit(0).cast("long")).unionByName(bits)
-    done = rest.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_cut_out, _SCHEMA)
+    done = rest.groupBy("chunk").cogroup(notes.repartitionById(n, F.col("chunk")).groupBy("chunk")).applyInArrow(_cut_out, _SCHEMA)
     raw = F.col("text").cast("binary")
     long = F.length(raw) >= LENGTH
     size = F.length(raw).cast("long")
