@@ -589,6 +589,23 @@ def test_few_pairs_at_the_similarity_share_no_band(make):
     assert 4000 - shared.select("pair").distinct().count() <= 4000 * 0.002
 
 
+def test_lines_that_share_a_crowded_band_alone_are_linked(spark, make, monkeypatch):
+    """A split of the band by further bands would part them."""
+    monkeypatch.setattr(lines, "CROWDED", 1)
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop"), 100)) for _ in range(6)]
+    docs = make([t + end for t in texts for end in ("y", "z")])
+    key = {r.doc_id: r.key for r in lines.lines(docs).collect()}
+    own = {r.key: r for r in lines.signatures(docs).collect()}
+    rows = []
+    for k in range(0, 12, 2):
+        r, other = own[key[k]].asDict(), own[key[k + 1]].asDict()
+        rows += [r, other | {p: r[p] ^ (p != "p0") for p in lines._PACKED}]  # a minimum of each band but the first differs
+    once = spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+    found = {tuple(sorted((r.a, r.b))) for r in lines.links(once, docs).collect()}
+    assert found == {tuple(sorted((key[k], key[k + 1]))) for k in range(0, 12, 2)}
+
+
 def test_paragraphs_of_few_words_are_units(make):
     verse = "shall i compare thee to a summers day"
     texts = [f"{verse}\nonly here one\nto be or not", "To be  or not\nanother line", verse + "\nsomething else again", " ".join(["shall"] + verse.split()[1:] + ["now"]) + "\nto be or"]
