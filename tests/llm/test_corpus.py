@@ -606,6 +606,18 @@ def test_lines_that_share_a_crowded_band_alone_are_linked(spark, make, monkeypat
     assert found == {tuple(sorted((key[k], key[k + 1]))) for k in range(0, 12, 2)}
 
 
+def test_agreement_counts_equal_bytes(spark):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 1 << 15, (40, 56))
+    rows[1::2] = np.where(rng.random((20, 56)) < 0.6, rows[::2], rows[1::2])
+    rows[3], rows[5] = rows[2], rows[4] ^ 0xFF
+    packed = [[k, *(sum(int(v) << 16 * j for j, v in enumerate(r[4 * i : 4 * i + 4])) for i in range(14))] for k, r in enumerate(rows)]
+    short = lines._short(spark.createDataFrame(packed, ["key", *lines._PACKED]))
+    assert not any(f.nullable for f in short.schema if f.name != "key")  # no test for null in each comparison
+    got = short.alias("x").join(short.alias("y"), F.expr("y.key = x.key + 1")).select("x.key", lines._agreement("x", "y").alias("n")).collect()
+    assert {r.key: r.n for r in got} == {k: int(((rows[k] ^ rows[k + 1]) & 0xFF == 0).sum()) for k in range(39)}
+
+
 def test_paragraphs_of_few_words_are_units(make):
     verse = "shall i compare thee to a summers day"
     texts = [f"{verse}\nonly here one\nto be or not", "To be  or not\nanother line", verse + "\nsomething else again", " ".join(["shall"] + verse.split()[1:] + ["now"]) + "\nto be or"]
