@@ -34,7 +34,7 @@ SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Distinct pieces of texts a worker remembers with their ids; beyond it starts anew, which changes no result.
 MEMORY = 1_000_000
 #: Bytes of text encoded in one go.
-STEP = 8 << 20
+STEP = 2 << 20
 #: Stands for a line break, and before the first piece of a line; texts that hold either are encoded whole.
 _BREAK, _FIRST = "\x00", "\x01"
 #: Marks after a word that end its piece make a piece of their own.

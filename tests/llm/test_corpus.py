@@ -2,15 +2,18 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from mosaicq.llm import ann, components, decontaminate, lines, lm, mixing, paragraphs, quality, repeats, simhash, suffixes, token_files
+from mosaicq.llm.common import slices
 
 WORD = mixing.WORD
 
@@ -90,6 +93,19 @@ def test_pieces_encode_as_the_library_encodes_whole_texts(tokenizer):
         assert ids.tolist() == [*own.encode(text or "", add_special_tokens=False).ids, 2], text
 
 
+def test_encoding_holds_little_at_once(tokenizer):
+    words = [f"w{k % 997}x{k % 13}" for k in range(120_000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([" ".join(words)] * 9, pa.large_string())})
+    with open(tokenizer, encoding="utf-8") as f:
+        encoder = token_files.Encoder(f.read())
+    tracemalloc.start()
+    for part in slices(batch, token_files.STEP):
+        assert sum(1 for _ in encoder.encode(part["text"])) == part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
 def test_token_files_hold_independent_checked_frames(tmp_path, make, tokenizer):
     import zstandard
 
