@@ -23,6 +23,10 @@ SHARD = 8192
 QUERY_BLOCK, WALK = 8192, 256
 K = 20
 LINKS, EF_BUILD, EF_SEARCH, BATCH = 16, 100, 400, 64
+#: Nodes a walk expands at once, so that its list is sorted so many times less.
+WIDE = 8
+#: A shard is searched with the narrowest of these that finds RECALL of what brute force finds for SAMPLE of its own vectors, else with EF_SEARCH.
+NARROW, RECALL, SAMPLE = (64, 100, 200), 0.999, 128
 
 
 class Graph:
@@ -97,22 +101,32 @@ class Graph:
         ids[:, 0], done[:, 0] = entry, False
         near[:, 0] = np.einsum("ij,ij->i", q, self.x[entry])
         seen[np.arange(m), entry] = True
-        live = np.arange(m)
-        while len(live):
-            first = np.argmin(done[live], axis=1)  # rows are sorted: the best not yet expanded
-            go = ~done[live, first]
-            live, first = live[go], first[go]
+        live, wide = np.arange(m), min(WIDE, ef)
+        while True:
+            live = live[~done[live].all(axis=1)]
             if not len(live):
                 break
-            done[live, first] = True
-            more = neighbours[ids[live, first]].astype(np.int64)
-            known = seen[live[:, None], more]
-            more = np.where(known, -1, more)
-            seen[live[:, None], more] = True
-            products = np.where(more < 0, -np.inf, np.einsum("ij,ikj->ik", q[live], self.x[more])).astype(np.float32)
-            all_ids = np.concatenate((ids[live], more), axis=1)
-            all_near = np.concatenate((near[live], products), axis=1)
-            all_done = np.concatenate((done[live], more < 0), axis=1)
+            place = np.cumsum(~done[live], axis=1)  # rows are sorted: the best not yet expanded, some at a time
+            r, c = np.nonzero(~done[live] & (place <= wide))
+            more = np.full((len(live), wide, neighbours.shape[1]), -1, np.int64)
+            more[r, place[r, c] - 1] = neighbours[ids[live[r], c]]
+            done[live[r], c] = True
+            more = more.reshape(len(live), -1)
+            more[seen[live[:, None], more]] = -1
+            more.sort(axis=1)
+            more[:, 1:][more[:, 1:] == more[:, :-1]] = -1  # two that are expanded may share a neighbour
+            r, c = np.nonzero(more >= 0)
+            found = more[r, c]
+            seen[live[r], found] = True
+            products = np.einsum("ij,ij->i", q[live[r]], self.x[found])
+            better = products > near[live[r], -1]
+            r, found, products = r[better], found[better], products[better]
+            n = np.bincount(r, minlength=len(live))
+            at = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+            new_ids = np.full((len(live), n.max(initial=0)), -1, np.int64)
+            new_near = np.full(new_ids.shape, -np.inf, np.float32)
+            new_ids[r, at], new_near[r, at] = found, products
+            all_ids, all_near, all_done = (np.concatenate(x, axis=1) for x in ((ids[live], new_ids), (near[live], new_near), (done[live], new_ids < 0)))
             best = np.argsort(-all_near, axis=1, kind="stable")[:, :ef]
             ids[live], near[live], done[live] = (np.take_along_axis(a, best, axis=1) for a in (all_ids, all_near, all_done))
         return ids, near
@@ -123,6 +137,18 @@ class Graph:
             entry = self._walk(q, entry, layer, 1)[0][:, 0]
         return self._walk(q, entry, 0, max(ef, 1))[0]
 
+    def width(self, x: np.ndarray, k: int) -> int:
+        """How wide a search for the k nearest has to be; x: the vectors before they were lifted and scaled."""
+        own = x[np.unique(np.linspace(0, len(x) - 1, SAMPLE).astype(int))]
+        k = min(k, len(x))
+        nearest = np.argpartition(-(own @ x.T), k - 1, axis=1)[:, :k]
+        asked = np.column_stack((own, np.zeros(len(own)))).astype(np.float32)
+        for ef in (w for w in NARROW if 2 * k <= w < EF_SEARCH):
+            found = self.search(asked, min(ef, len(x)))
+            if sum(len(np.intersect1d(a, b)) for a, b in zip(nearest, found, strict=True)) >= RECALL * nearest.size:
+                return ef
+        return EF_SEARCH
+
 
 def _matrix(column, width: int | None = None) -> np.ndarray:
     rows = [np.asarray(v, np.float64) for v in column.to_pylist()]
@@ -167,7 +193,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, shard: int = SHARD)
         rest = np.sqrt(np.maximum(0, lift**2 - (x**2).sum(axis=1)))
         graph = Graph.build((np.column_stack((x, rest)) / lift).astype(np.float32))
         ids = [np.asarray(v, np.int64) for v in group["ids"].to_pylist()]
-        packed = _pack(x=x, rest=rest, ids=np.concatenate(ids), ends=np.cumsum([len(v) for v in ids]), **{f"layer{i}": a for i, a in enumerate(graph.layers)})
+        packed = _pack(x=x, rest=rest, ef=graph.width(x, k + 1), ids=np.concatenate(ids), ends=np.cumsum([len(v) for v in ids]), **{f"layer{i}": a for i, a in enumerate(graph.layers)})
         return pa.table({"shard": group["shard"].slice(0, 1), "graph": pa.array([packed], pa.binary())})
 
     # a graph goes out once with each block of queries, of which there are few
@@ -190,7 +216,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K, shard: int = SHARD)
                 out = ([], [], [])
                 for at in range(0, len(q), WALK):
                     part = q[at : at + WALK]
-                    hits = graph.search(np.column_stack((part, np.zeros(len(part)))).astype(np.float32), min(EF_SEARCH, len(x)))
+                    hits = graph.search(np.column_stack((part, np.zeros(len(part)))).astype(np.float32), min(int(g["ef"]), len(x)))
                     for own_id, v, hit in zip(asked["ids"][at : at + WALK].tolist(), part, hits, strict=True):
                         hit = hit[hit >= 0]
                         rows = np.concatenate([ids[starts[h] : ends[h]] for h in hit])

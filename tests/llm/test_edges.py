@@ -123,6 +123,24 @@ def test_neighbours_of_hard_vectors(spark):
     assert hits >= 0.95 * 20 * len(got)
 
 
+def test_a_search_is_as_wide_as_its_vectors_need(monkeypatch):
+    rng = np.random.default_rng(4)
+    near = np.repeat(rng.normal(size=(60, 64)), 25, axis=0) + 0.05 * rng.normal(size=(1500, 64))
+    for x, hard in ((near, False), (rng.normal(size=(1500, 64)), True)):
+        size = (x**2).sum(axis=1)
+        graph = ann.Graph.build((np.column_stack((x, np.sqrt(size.max() - size))) / np.sqrt(size.max())).astype(np.float32))
+        ef, asked = graph.width(x, 21), np.column_stack((x[:100], np.zeros(100))).astype(np.float32)
+        assert ef == ann.EF_SEARCH or not hard and ef in ann.NARROW
+        found = graph.search(asked, ef)
+        want = np.argsort(-(x[:100] @ x.T), axis=1)[:, :21]
+        assert all(len(set(f[f >= 0])) == (f >= 0).sum() for f in found)  # none twice
+        assert sum(len(set(a) & set(b)) for a, b in zip(want, found, strict=True)) >= 0.95 * want.size
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or plain(*a, **b))
+    graph.search(asked, 400)
+    assert len(sorts) < 200  # a list of 400 is sorted for several nodes at a time, not for each
+
+
 @pytest.mark.parametrize("name", ["op7_repeats", "op8_mixing"])
 def test_queries_agree_with_their_sql(spark, name):
     import duckdb
