@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -622,6 +623,26 @@ def test_lines_that_share_a_crowded_band_alone_are_linked(spark, make, monkeypat
     assert found == {tuple(sorted((key[k], key[k + 1]))) for k in range(0, 12, 2)}
 
 
+def test_lines_that_are_no_candidates_are_not_stored(make, monkeypatch):
+    """Lines that share one band and agree in nothing else: none of their texts is gathered, and nothing stored stays behind."""
+    rng = np.random.default_rng(8)
+    docs = make(["".join(rng.choice(list("abcdefghijklmnop"), 100)) for _ in range(6)])
+    once = lines.signatures(docs).withColumn("p0", F.lit(0).cast("long"))
+    stored, texts, files = lines.stored, [], []
+
+    def noted(df):
+        out = stored(df)
+        files.extend(out.inputFiles())
+        if "line" in out.columns:
+            texts.extend(r["line"] for r in out.collect())
+        return out
+
+    monkeypatch.setattr(lines, "stored", noted)
+    assert lines.links(once, docs).count() == 0
+    assert files and not any(os.path.exists(f.removeprefix("file:")) for f in files)
+    assert texts == []
+
+
 def test_agreement_counts_equal_bytes(spark):
     rng = np.random.default_rng(2)
     rows = rng.integers(0, 1 << 15, (40, 56))
