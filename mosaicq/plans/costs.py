@@ -114,9 +114,10 @@ def palette_index(spark, sf):
 
 
 def indexed(spark, sf):
-    """(img, c, i, x, y, v): pixels as indices into their image's palette, joined image by image."""
-    px = planes.rgb8(spark, sf)
-    return px.join(palette_index(spark, sf), ["img", "r", "g", "b"]).select("img", F.lit(0).alias("c"), "i", "x", "y", F.col("k").alias("v"))
+    """(img, c, i, x, y, v): pixels as indices into their image's palette: a colour's index is its rank among those of its image, so nothing is joined."""
+    px = planes.rgb8(spark, sf).filter("img is not null and r is not null and g is not null and b is not null")
+    order = W.partitionBy("img").orderBy(color.luma(F.col("r"), F.col("g"), F.col("b")), "r", "g", "b")
+    return px.select("img", F.lit(0).alias("c"), "i", "x", "y", (F.dense_rank().over(order) - 1).cast("long").alias("v"))
 
 
 @query("join01_palette_lookup", f"WITH {_INDEX} SELECT img, i, k FROM rgb JOIN idx USING (img, r, g, b)")

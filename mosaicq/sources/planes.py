@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 
 WIDTH = 32
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+#: Bytes of a table's files that make one partition where rows are dealt.
+PART_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, of: DataFrame, *keys: str, size: int | None = None) -> DataFrame:
+    """df dealt by keys to a partition for each `size` bytes (PART_BYTES) of the files of the table `of`, so that what a task holds doesn't grow with
+    the input; a partition a core at least. Operators that ask for these keys, or for more, find them in place."""
+    files = int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-files // (size or PART_BYTES))), *keys)
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, i, x, y, c0, c1, c2, a): one row a pixel in raster order i; a is 0 where c2 is, else 255."""
-    item = table(spark, sf_dir, "lineitem")
+    """(img, i, x, y, c0, c1, c2, a): one row a pixel in raster order i; a is 0 where c2 is, else 255. Images are whole in their partitions."""
+    whole = table(spark, sf_dir, "lineitem")
+    item = dealt(whole.select("l_suppkey", *ORDER, "l_quantity", "l_discount", "l_tax"), whole, "l_suppkey")
     i = (F.row_number().over(W.partitionBy("l_suppkey").orderBy(*ORDER)) - 1).cast("long")
     px = item.select(F.col("l_suppkey").alias("img"), i.alias("i"), F.col("l_quantity").cast("long").alias("c0"), F.round(F.col("l_discount") * 100).cast("long").alias("c1"), F.round(F.col("l_tax") * 100).cast("long").alias("c2"))
     return px.select("img", "i", (F.col("i") % WIDTH).alias("x"), F.expr(f"i div {WIDTH}").alias("y"), "c0", "c1", "c2", F.when(F.col("c2") == 0, 0).otherwise(255).cast("long").alias("a"))
