@@ -8,7 +8,7 @@ from mosaicq.plans.all_queries import QUERIES
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit"]
 
 
 @pytest.mark.parametrize("name", DEALT)
