@@ -8,7 +8,7 @@ from mosaicq.plans.all_queries import QUERIES
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather"]
 
 
 @pytest.mark.parametrize("name", DEALT)
