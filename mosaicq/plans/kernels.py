@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaicq.operators import kernels as k
+from mosaicq.operators.groups import by_groups, column, lengths
 from mosaicq.plans.catalog import query
 from mosaicq.plans.sql import LETTERS, LONG, RGB, SIGNAL, YCC
-from mosaicq.plans.windows import raw_channels, ycc
+from mosaicq.plans.windows import raw_channels, ycc_pixels
 from mosaicq.sources import planes
 
 WIDTH = planes.WIDTH
@@ -29,27 +31,52 @@ def mask_of(pdf: pd.DataFrame) -> np.ndarray:
     return mask
 
 
+def whole_rows(v: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of many planes' samples in raster order, what the last ones lack filled with 0; each row's y; where each sample stands in them."""
+    size = np.diff(starts, append=len(v))
+    rows = -(-size // WIDTH)
+    first = np.cumsum(rows) - rows
+    at = np.arange(len(v)) + np.repeat(first * WIDTH - starts, size)
+    out = np.zeros(int(rows.sum()) * WIDTH, v.dtype)
+    out[at] = v
+    return out.reshape(-1, WIDTH), np.arange(int(rows.sum())) - np.repeat(first, rows), at
+
+
 @query("win03_weighted_predictor")
 def _(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = k.weighted_residuals(plane_of(pdf)).reshape(-1)[: len(pdf)]
-        return pd.DataFrame({"img": [pdf.img.iloc[0]], "c": [pdf.c.iloc[0]], "samples": [e.size], "size": [int(np.abs(e).sum())], "most": [int(np.abs(e).max(initial=0))]})
+    """The planes of many images at once."""
 
-    return ycc(spark, sf).groupBy("img", "c").applyInPandas(run, "img long, c int, samples long, size long, most long")
+    def run(px: pa.Table, starts: np.ndarray) -> dict:
+        out = []
+        for c in range(3):
+            rows, y, at = whole_rows(column(px, f"c{c}"), starts)
+            e = np.abs(k.weighted_residuals_of(rows, y).reshape(-1)[at])
+            out.append((np.full(len(starts), c, np.int32), lengths(px, starts), np.add.reduceat(e, starts), np.maximum.reduceat(e, starts)))
+        c, n, size, most = (np.concatenate(a) for a in zip(*out, strict=True))
+        return {"img": pa.chunked_array([px["img"].combine_chunks().take(pa.array(starts))] * 3), "c": c, "samples": n, "size": size, "most": most}
+
+    px = ycc_pixels(spark, sf).select("img", "i", "c0", "c1", "c2")
+    return by_groups(px, ["img"], "i", run, "img long, c int, samples long, size long, most long")
 
 
 @query("win07_squeeze_inverse", f"WITH {YCC} SELECT img, c, y, count(*) AS n, CAST(sum(v * (x + 1)) AS BIGINT) AS checksum FROM ych GROUP BY img, c, y")
 def _(spark, sf):
-    """Rows squeezed and restored: the oracle knows only the rows."""
+    """Rows squeezed and restored, all of one length at once: the oracle knows only the rows."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for y, part in pdf.sort_values("i").groupby("y"):
-            back = k.unsqueeze(*k.squeeze(part.v.to_numpy()))
-            rows.append((pdf.img.iloc[0], pdf.c.iloc[0], y, len(back), int((back * np.arange(1, len(back) + 1)).sum())))
-        return pd.DataFrame(rows, columns=["img", "c", "y", "n", "checksum"])
+    def run(px: pa.Table, starts: np.ndarray) -> dict:
+        n = lengths(px, starts)
+        sums = np.zeros((3, len(starts)), np.int64)
+        for c in range(3):
+            v = column(px, f"c{c}")
+            for length in np.unique(n).tolist():
+                rows = np.flatnonzero(n == length)
+                back = k.unsqueeze(*k.squeeze(v[starts[rows][:, None] + np.arange(length)]))
+                sums[c, rows] = back @ np.arange(1, length + 1)
+        key = {c: pa.chunked_array([px[c].combine_chunks().take(pa.array(starts))] * 3) for c in ("img", "y")}
+        return {**key, "c": np.repeat(np.arange(3, dtype=np.int32), len(starts)), "n": np.tile(n, 3), "checksum": sums.reshape(-1)}
 
-    return ycc(spark, sf).groupBy("img", "c").applyInPandas(run, "img long, c int, y long, n long, checksum long")
+    px = ycc_pixels(spark, sf).select("img", "y", "i", "c0", "c1", "c2")
+    return by_groups(px, ["img", "y"], "i", run, "img long, c int, y long, n long, checksum long")
 
 
 def _histograms(spark, sf):
@@ -258,26 +285,38 @@ def _(spark, sf):
     return planes.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(run, "block long, nonzero long, size long")
 
 
-def tree_inputs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Properties of each sample's neighbourhood, and the symbols that four predictors leave."""
-    p = pdf.sort_values("i")
-    v = p.v.to_numpy()
-    w, n = np.concatenate(([0], v[:-1])), np.concatenate((np.zeros(WIDTH, np.int64), v[:-WIDTH]))
+def tree_inputs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Properties of each sample's neighbourhood, and the symbols that four predictors leave, of a plane's samples in raster order."""
+    at = np.arange(len(v))
+    w, n = np.concatenate(([0], v[:-1])), np.concatenate((np.zeros(WIDTH, np.int64), v[:-WIDTH]))[: len(v)]
     nw = np.concatenate((np.zeros(WIDTH + 1, np.int64), v[: -WIDTH - 1]))[: len(v)]
     gradient = np.clip(w + n - nw, np.minimum(w, n), np.maximum(w, n))
     symbols = np.stack([np.minimum(np.abs(v - g), 63) for g in (w, n, (w + n) // 2, gradient)], axis=1)
-    return np.stack((w, n, np.abs(w - n), np.abs(w - nw), p.x.to_numpy(), p.y.to_numpy()), axis=1), symbols
+    return np.stack((w, n, np.abs(w - n), np.abs(w - nw), at % WIDTH, at // WIDTH), axis=1), symbols
+
+
+def by_planes(spark, sf, run, schema: str):
+    """run(properties, symbols) for each plane of each image, a tuple that goes behind img and c."""
+
+    def each(px: pa.Table, starts: np.ndarray) -> dict:
+        ends = [*starts[1:].tolist(), px.num_rows]
+        found = [run(*tree_inputs(v[a:e])) for v in (column(px, c) for c in "rgb") for a, e in zip(starts.tolist(), ends, strict=True)]
+        names = [part.split()[0] for part in schema.split(", ")]
+        key = pa.chunked_array([px["img"].combine_chunks().take(pa.array(starts))] * 3)
+        return {"img": key, "c": np.repeat(np.arange(3, dtype=np.int32), len(starts)), **dict(zip(names, map(list, zip(*found, strict=True)), strict=True))}
+
+    return by_groups(planes.rgb8(spark, sf).select("img", "i", "r", "g", "b"), ["img"], "i", each, f"img long, c int, {schema}")
 
 
 @query("opt01_learned_trees")
 def _(spark, sf):
     """A tree of sixteen leaves at most for each plane: every leaf has its best predictor, and splits must pay for themselves."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaves = k.tree_leaves(k.grow_tree(*tree_inputs(pdf), 16, price=20.0))
-        return pd.DataFrame({"img": [pdf.img.iloc[0]], "c": [pdf.c.iloc[0]], "leaves": [len(leaves)], "bits": [round(sum(t[2] for t in leaves), 3)]})
+    def run(x: np.ndarray, symbol: np.ndarray) -> tuple:
+        leaves = k.tree_leaves(k.grow_tree(x, symbol, 16, price=20.0))
+        return len(leaves), round(sum(t[2] for t in leaves), 3)
 
-    return raw_channels(spark, sf).groupBy("img", "c").applyInPandas(run, "img long, c int, leaves long, bits double")
+    return by_planes(spark, sf, run, "leaves long, bits double")
 
 
 _SPLIT = "CASE WHEN count(*) = 1 THEN 0.0 ELSE sum(n) * log2(sum(n)) - sum(n * log2(n)) END"

@@ -6,17 +6,19 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaicq.functions import codes, color
 from mosaicq.operators import kernels as k
+from mosaicq.operators.groups import by_groups, column
 from mosaicq.operators.cost import entropy, shannon, token_cost
 from mosaicq.operators.predict import neighbours, predictors, residual_tokens, tap
 from mosaicq.plans.blocks import _Q, quantised
 from mosaicq.plans.catalog import query
 from mosaicq.plans.costs import _BITS, _ENT, _RES, residuals
-from mosaicq.plans.kernels import mask_of, plane_of, tree_inputs
+from mosaicq.plans.kernels import by_planes, mask_of, plane_of, whole_rows
 from mosaicq.plans.sql import LONG, RGB, SIGNAL, YCC, gradient_residual
 from mosaicq.plans.sql import neighbours as nb_sql
 from mosaicq.plans.windows import _tap_sql, raw_channels, squeeze_rows, ycc
@@ -236,14 +238,13 @@ def _(spark, sf):
 def _(spark, sf):
     """A tree per plane where its leaves save more than its nodes cost."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, symbol = tree_inputs(pdf)
+    def run(x: np.ndarray, symbol: np.ndarray) -> tuple:
         flat = k.grow_tree(x, symbol, 1)[0][2]
         nodes = k.grow_tree(x, symbol, 6)
         tree = sum(t[2] for t in k.tree_leaves(nodes)) + 20.0 * (len(nodes) // 2)
-        return pd.DataFrame({"img": [pdf.img.iloc[0]], "c": [pdf.c.iloc[0]], "flat_bits": [round(flat, 3)], "tree_bits": [round(tree, 3)], "kept": [bool(tree < flat)]})
+        return round(flat, 3), round(tree, 3), bool(tree < flat)
 
-    return raw_channels(spark, sf).groupBy("img", "c").applyInPandas(run, "img long, c int, flat_bits double, tree_bits double, kept boolean")
+    return by_planes(spark, sf, run, "flat_bits double, tree_bits double, kept boolean")
 
 
 @query("sup17_divided_channels", f"WITH {LONG}, f AS (SELECT c, CASE c WHEN 0 THEN 5 WHEN 1 THEN 25 ELSE 31 END AS f FROM range(3) AS t(c)), h AS (SELECT c, v // f AS q, count(*) AS n FROM ch JOIN f USING (c) GROUP BY ALL) SELECT c, count(*) AS levels, max(q) AS most, round({_ENT}, 3) AS bits FROM h GROUP BY c")
@@ -380,13 +381,12 @@ def _(spark, sf):
 def _(spark, sf):
     """The best of the weighted predictor's presets for each plane, by what it leaves."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        plane = plane_of(pdf)
-        size = [int(np.abs(k.weighted_residuals(plane, s, t).reshape(-1)[: len(pdf)]).sum()) for s, t in k.WP_PRESETS]
-        best = int(np.argmin(size))
-        return pd.DataFrame({"img": [pdf.img.iloc[0]], "preset": [best], "size": [size[best]]})
+    def run(px: pa.Table, starts: np.ndarray) -> dict:
+        rows, y, at = whole_rows(column(px, "r"), starts)
+        size = np.stack([np.add.reduceat(np.abs(k.weighted_residuals_of(rows, y, s, t).reshape(-1)[at]), starts) for s, t in k.WP_PRESETS])
+        return {"img": px["img"].combine_chunks().take(pa.array(starts)), "preset": size.argmin(axis=0), "size": size.min(axis=0)}
 
-    return raw_channels(spark, sf).filter("c = 0").groupBy("img").applyInPandas(run, "img long, preset long, size long")
+    return by_groups(planes.rgb8(spark, sf).select("img", "i", "r"), ["img"], "i", run, "img long, preset long, size long")
 
 
 @query("seg09_merged_regions")

@@ -14,10 +14,14 @@ from mosaicq.plans.sql import neighbours as nb_sql
 from mosaicq.sources import planes
 
 
-def ycc(spark, sf):
+def ycc_pixels(spark, sf):
+    """(img, i, x, y, c0, c1, c2): a row a pixel."""
     px = planes.rgb8(spark, sf)
-    out = px.select("img", "i", "x", "y", *[v.alias(f"c{k}") for k, v in enumerate(color.ycocg(F.col("r"), F.col("g"), F.col("b")))])
-    return planes.channels(out, "c0", "c1", "c2")
+    return px.select("img", "i", "x", "y", *[v.alias(f"c{k}") for k, v in enumerate(color.ycocg(F.col("r"), F.col("g"), F.col("b")))])
+
+
+def ycc(spark, sf):
+    return planes.channels(ycc_pixels(spark, sf), "c0", "c1", "c2")
 
 
 def raw_channels(spark, sf):

@@ -2,13 +2,16 @@
 
 import re
 
+import numpy as np
 import pytest
 
+from mosaicq.operators import kernels as k
 from mosaicq.plans.all_queries import QUERIES
+from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -19,3 +22,8 @@ def test_partitions_grow_with_the_input(spark, monkeypatch, name):
     dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\((?:l_suppkey|stream)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert len(dealt) == 1 and dealt[0] > 6
     assert len(re.findall(r"Exchange hashpartitioning\((?:l_suppkey|stream|img)", plan)) == 1
+
+
+def test_planes_of_less_than_a_row_have_trees_too():
+    x, symbol = tree_inputs(np.arange(20) * 5)
+    assert x.shape == (20, 6) and symbol.shape == (20, 4) and k.grow_tree(x, symbol, 16, price=20.0)[0][0] == -1
