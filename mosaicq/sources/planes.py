@@ -66,7 +66,8 @@ def scan_interleaved(buf: DataFrame, n: int, bits: int = 8) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, t, v): each user's events in time order as hundredths."""
-    ev = table(spark, sf_dir, "events").filter("value is not null")
+    whole = table(spark, sf_dir, "events")
+    ev = dealt(whole.filter("value is not null").select("user_id", "ts", "event_id", "value"), whole, "user_id")
     t = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     return ev.select("user_id", t.cast("long").alias("t"), F.round(F.col("value") * 100).cast("long").alias("v"))
 

@@ -11,7 +11,7 @@ from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -27,3 +27,11 @@ def test_partitions_grow_with_the_input(spark, monkeypatch, name):
 def test_planes_of_less_than_a_row_have_trees_too():
     x, symbol = tree_inputs(np.arange(20) * 5)
     assert x.shape == (20, 6) and symbol.shape == (20, 4) and k.grow_tree(x, symbol, 16, price=20.0)[0][0] == -1
+
+
+def test_many_chains_cost_what_each_costs_alone():
+    r = np.random.default_rng(3)
+    parts = [r.normal(0, 9, n) for n in (5, 1, 30, 12, 30)]
+    price = lambda d: np.log2(1 + np.abs(d))
+    starts = np.cumsum([0, *map(len, parts)])[:-1]
+    assert k.cheapest_roundings(np.concatenate(parts), starts, price, 0.3).tolist() == [k.cheapest_rounding(p, price, 0.3) for p in parts]
