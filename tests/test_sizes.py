@@ -11,7 +11,7 @@ from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -35,3 +35,14 @@ def test_many_chains_cost_what_each_costs_alone():
     price = lambda d: np.log2(1 + np.abs(d))
     starts = np.cumsum([0, *map(len, parts)])[:-1]
     assert k.cheapest_roundings(np.concatenate(parts), starts, price, 0.3).tolist() == [k.cheapest_rounding(p, price, 0.3) for p in parts]
+
+
+def test_many_planes_leave_what_each_leaves_alone():
+    r = np.random.default_rng(4)
+    planes_of = [r.integers(0, 255, n) for n in (70, 3, 640, 32)]
+    starts = np.cumsum([0, *map(len, planes_of)])[:-1]
+    for shares, p in k.WP_PRESETS:
+        rows, y, at = whole_rows(np.concatenate(planes_of), starts)
+        got = k.weighted_residuals_of(rows, y, shares, p).reshape(-1)[at]
+        alone = [k.weighted_residuals(np.append(v, np.zeros(-len(v) % 32, int)).reshape(-1, 32), shares, p).reshape(-1)[: len(v)] for v in planes_of]
+        assert got.tolist() == np.concatenate(alone).tolist()
