@@ -11,7 +11,7 @@ from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -46,3 +46,10 @@ def test_many_planes_leave_what_each_leaves_alone():
         got = k.weighted_residuals_of(rows, y, shares, p).reshape(-1)[at]
         alone = [k.weighted_residuals(np.append(v, np.zeros(-len(v) % 32, int)).reshape(-1, 32), shares, p).reshape(-1)[: len(v)] for v in planes_of]
         assert got.tolist() == np.concatenate(alone).tolist()
+
+
+def test_many_rows_are_squeezed_at_once():
+    rows = np.random.default_rng(5).integers(-99, 99, (40, 31))
+    average, rest = k.squeeze(rows)
+    assert average.shape == (40, 16) and (k.unsqueeze(average, rest) == rows).all()
+    assert all((k.squeeze(row)[1] == d).all() for row, d in zip(rows, rest, strict=True))
