@@ -11,7 +11,7 @@ from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles"]
 
 
 @pytest.mark.parametrize("name", DEALT)
