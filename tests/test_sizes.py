@@ -11,7 +11,7 @@ from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles", "join02_two_level_lookup"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -53,3 +53,8 @@ def test_many_rows_are_squeezed_at_once():
     average, rest = k.squeeze(rows)
     assert average.shape == (40, 16) and (k.unsqueeze(average, rest) == rows).all()
     assert all((k.squeeze(row)[1] == d).all() for row, d in zip(rows, rest, strict=True))
+
+
+def test_no_filter_works_out_tokens(spark):
+    plan = QUERIES["join02_two_level_lookup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "bin(" in line or "Filter isnotnull(CASE" in line]
