@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mosaicq.functions import color
 from mosaicq.operators.cost import shannon, token_cost
+from mosaicq.operators.groups import by_groups, column, lengths
 from mosaicq.operators.predict import neighbours, predictors, properties, residual_tokens, tap
 from mosaicq.plans.catalog import query
 from mosaicq.plans.sql import LONG, RGB, SIGNAL, YCC, gradient_residual
@@ -149,31 +152,46 @@ far AS (SELECT f.img, f.c, f.i, f.x, f.y, f.v, dx, dy, CASE WHEN f.x + dx < 0 TH
 taps AS (SELECT far.* EXCLUDE (tx), least(tx, len - 1) AS tx FROM far JOIN long ON long.img = far.img AND long.c = far.c AND long.y = far.ty)"""
 
 
-def stencil(px, radius: int):
-    """px with an array `t` of its (2r+1)^2 taps, mirrored: rows meet by key, a row of samples being one array."""
-    line = px.groupBy("img", "c", "y").agg(F.sort_array(F.collect_list(F.struct("x", "v"))).alias("p")).select("img", "c", "y", F.col("p.v").alias("line"))
-    width = planes.WIDTH
-    full = F.concat(F.col("line"), F.array_repeat(F.element_at("line", -1), F.lit(width) - F.size("line")))
-    pad = F.transform(F.array(full), lambda r: F.concat(F.reverse(F.slice(r, 1, radius)), r, F.reverse(F.slice(r, width - radius + 1, radius))))[0]
-    line = line.select("img", "c", "y", "line", pad.alias("padded"))
-    w = W.partitionBy("img", "c").orderBy("y")
-    near = [F.lead("padded", k).over(w) if k >= 0 else F.lag("padded", -k).over(w) for k in range(-radius, radius + 1)]
-    lines = line.select("img", "c", "y", "line", F.array(*near).alias("near"), F.max("y").over(W.partitionBy("img", "c")).alias("last"))
-    rows = []
-    for dy in range(-radius, radius + 1):  # a mirrored row is near too
-        at = F.col("y") + dy
-        target = F.when(at < 0, F.least(-1 - at, F.col("last"))).when(at > F.col("last"), F.greatest(2 * F.col("last") + 1 - at, F.lit(0))).otherwise(at)
-        rows.append(F.get("near", (target - F.col("y") + radius).cast("int")))
-    each = lines.select("img", "c", "y", F.array(*rows).alias("rows"), F.posexplode("line").alias("x", "v"))
-    t = F.flatten(F.transform("rows", lambda r: F.slice(r, F.col("x") + 1, 2 * radius + 1)))
-    return each.select("img", "c", "y", F.col("x").cast("long").alias("x"), "v", t.alias("t"))
-
-
-def convolve(px, kernel: list[list[float]]):
-    radius = len(kernel) // 2
-    flat = F.array(*[F.lit(float(k)) for row in kernel for k in row])
-    dot = F.aggregate(F.zip_with("t", flat, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return stencil(px, radius).select("img", "c", "x", "y", "v", dot.alias("out"))
+def stencil(spark, sf, radius: int, run, schema: str):
+    """(img, c, x, y, schema) of every sample: run(taps, v) gives the columns of schema, taps being for each place of a square stencil in raster order
+    the samples there of all of a batch's samples, channel by channel; what lies outside is mirrored, a null counts as nothing."""
+
+    def each(px: pa.Table, starts: np.ndarray) -> dict:
+        i, size = column(px, "i"), lengths(px, starts)
+        base, end, rows = (np.repeat(a, size) for a in (starts, starts + size, -(-size // planes.WIDTH)))
+        x, y = i % planes.WIDTH, i // planes.WIDTH
+        v = np.stack([px[c].combine_chunks().fill_null(0).to_numpy() for c in "rgb"])
+        null = np.stack([px[c].is_null().to_numpy() for c in "rgb"]) if any(px[c].null_count for c in "rgb") else None
+
+        def places():
+            for dy in range(-radius, radius + 1):
+                ty = y + dy
+                ty = np.where(ty < 0, np.minimum(-1 - ty, rows - 1), np.where(ty >= rows, np.maximum(2 * rows - 1 - ty, 0), ty))
+                for dx in range(-radius, radius + 1):
+                    tx = x + dx
+                    tx = np.where(tx < 0, -1 - tx, np.where(tx >= planes.WIDTH, 2 * planes.WIDTH - 1 - tx, tx))
+                    yield np.minimum(base + ty * planes.WIDTH + tx, end - 1)  # a short last row repeats its last sample
+
+        none = None if null is None else np.logical_and.reduce([null[:, at] for at in places()]).reshape(-1)
+        found = run((v[:, at] for at in places()), v)
+        out = {n: pa.array(a.reshape(-1), mask=none) for n, a in found.items()}
+        if "v" in out:
+            out["v"] = pa.array(v.reshape(-1), mask=None if null is None else null.reshape(-1))
+        return {"img": pa.chunked_array([px["img"].combine_chunks()] * 3), "c": np.repeat(np.arange(3, dtype=np.int32), len(i)), "x": np.tile(x, 3), "y": np.tile(y, 3), **out}
+
+    return by_groups(planes.rgb8(spark, sf).select("img", "i", "r", "g", "b"), ["img"], "i", each, f"img long, c int, x long, y long, {schema}")
+
+
+def convolve(spark, sf, kernel: list[list[float]]):
+    flat = [float(k) for row in kernel for k in row]
+
+    def run(taps, v: np.ndarray) -> dict:
+        out = np.zeros(v.shape)
+        for k, t in zip(flat, taps, strict=True):
+            out += t * k
+        return {"v": v, "out": out}
+
+    return stencil(spark, sf, len(kernel) // 2, run, "v long, out double")
 
 
 # Fixed values of the sharpening kernel: centre 1, then by distance.
@@ -193,22 +211,28 @@ SELECT t.img, t.c, t.x, t.y, t.v, round(sum(CAST(s.v AS DOUBLE) * k.k), 6) AS ou
 
 @query("win10_sharpen", _convolution_sql(SHARPEN))
 def _(spark, sf):
-    return convolve(raw_channels(spark, sf), SHARPEN).withColumn("out", F.round("out", 6))
+    return convolve(spark, sf, SHARPEN).withColumn("out", F.round("out", 6))
 
 
 @query("win11_smooth", _convolution_sql(SMOOTH))
 def _(spark, sf):
-    return convolve(raw_channels(spark, sf), SMOOTH).withColumn("out", F.round("out", 6))
+    return convolve(spark, sf, SMOOTH).withColumn("out", F.round("out", 6))
 
 
 @query("win13_box_moments", f"""WITH {_mirrored_sql(2)} SELECT t.img, t.c, t.x, t.y, CAST(sum(s.v) AS BIGINT) AS total, CAST(sum(s.v * s.v) AS BIGINT) AS square, CAST(sum(s.v * (s.v // 6 * 6 + 3)) AS BIGINT) AS mixed
 FROM taps t JOIN ch s ON s.img = t.img AND s.c = t.c AND s.x = t.tx AND s.y = t.ty GROUP BY ALL""")
 def _(spark, sf):
     """Sums of a box's samples, of their squares, and of their products with the same box of a coarser plane."""
-    t = stencil(raw_channels(spark, sf), 2)
-    total = lambda e: F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + e(x))
-    coarse = lambda x: (x - x % 6) + 3
-    return t.select("img", "c", "x", "y", total(lambda x: x).alias("total"), total(lambda x: x * x).alias("square"), total(lambda x: x * coarse(x)).alias("mixed"))
+
+    def run(taps, v: np.ndarray) -> dict:
+        total, square, mixed = (np.zeros_like(v) for _ in range(3))
+        for t in taps:
+            total += t
+            square += t * t
+            mixed += t * (t - np.fmod(t, 6) + 3)
+        return {"total": total, "square": square, "mixed": mixed}
+
+    return stencil(spark, sf, 2, run, "total long, square long, mixed long")
 
 
 @query("win14_half_resolution", f"WITH {LONG} SELECT img, c, x // 2 AS x, y // 2 AS y, round(avg(v), 6) AS v FROM ch GROUP BY img, c, x // 2, y // 2")

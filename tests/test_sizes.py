@@ -2,16 +2,18 @@
 
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from mosaicq.operators import kernels as k
-from mosaicq.plans.all_queries import QUERIES
+from mosaicq.plans.all_queries import ORACLES, QUERIES
 from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles", "join02_two_level_lookup"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles", "join02_two_level_lookup", "win13_box_moments"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -58,3 +60,22 @@ def test_many_rows_are_squeezed_at_once():
 def test_no_filter_works_out_tokens(spark):
     plan = QUERIES["join02_two_level_lookup"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "bin(" in line or "Filter isnotnull(CASE" in line]
+
+
+def items(n: int) -> pd.DataFrame:
+    """Line items of two images, the first samples of one null."""
+    r = np.random.default_rng(6)
+    quantity = r.integers(1, 51, n).astype(float)
+    quantity[:3] = np.nan
+    return pd.DataFrame({"l_orderkey": np.arange(n), "l_linenumber": 1, "l_partkey": 1, "l_suppkey": (np.arange(n) >= 70).astype(int), "l_extendedprice": 1.0, "l_quantity": quantity, "l_discount": r.integers(0, 11, n) / 100, "l_tax": r.integers(0, 9, n) / 100})
+
+
+@pytest.mark.parametrize("name", ["win13_box_moments"])
+def test_null_samples_count_as_nothing(spark, tmp_path, name):
+    items(300).to_parquet(tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = con.execute(ORACLES[name]).df()
+    got = QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    by = ["img", "c", "x", "y"]
+    pd.testing.assert_frame_equal(got.sort_values(by, ignore_index=True).astype(float), want.sort_values(by, ignore_index=True).astype(float), atol=2e-6, rtol=0)
