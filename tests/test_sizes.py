@@ -13,7 +13,7 @@ from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles", "join02_two_level_lookup", "win13_box_moments"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles", "join02_two_level_lookup", "win13_box_moments", "win10_sharpen"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -70,7 +70,7 @@ def items(n: int) -> pd.DataFrame:
     return pd.DataFrame({"l_orderkey": np.arange(n), "l_linenumber": 1, "l_partkey": 1, "l_suppkey": (np.arange(n) >= 70).astype(int), "l_extendedprice": 1.0, "l_quantity": quantity, "l_discount": r.integers(0, 11, n) / 100, "l_tax": r.integers(0, 9, n) / 100})
 
 
-@pytest.mark.parametrize("name", ["win13_box_moments"])
+@pytest.mark.parametrize("name", ["win10_sharpen", "win13_box_moments"])
 def test_null_samples_count_as_nothing(spark, tmp_path, name):
     items(300).to_parquet(tmp_path / "lineitem.parquet")
     con = duckdb.connect()
