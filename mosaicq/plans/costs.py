@@ -400,7 +400,8 @@ def _(spark, sf):
 k AS (SELECT stream, a, b, c, d, count(*) AS n FROM g WHERE d IS NOT NULL GROUP BY ALL) SELECT stream, CAST(sum(n) AS BIGINT) AS grams, count(*) FILTER (WHERE n > 1) AS repeated, max(n) > 1 AS worth FROM k GROUP BY stream""")
 def _(spark, sf):
     w = W.partitionBy("stream").orderBy("seq")
-    g = planes.letters(spark, sf).select("stream", F.array("value", *[F.lead("value", k).over(w) for k in (1, 2, 3)]).alias("g")).filter("g[3] is not null")
+    four = [F.col("value"), *[F.lead("value", k).over(w) for k in (1, 2, 3)]]  # bytes, so four of them are one number; null where the last is
+    g = planes.letters(spark, sf).select("stream", sum((v * (1 << 8 * k) for k, v in enumerate(four[1:], 1)), four[0]).alias("g")).filter("g is not null")
     k = g.groupBy("stream", "g").agg(F.count("*").alias("n"))
     return k.groupBy("stream").agg(F.sum("n").alias("grams"), F.count_if(F.col("n") > 1).alias("repeated"), (F.max("n") > 1).alias("worth"))
 

@@ -84,10 +84,16 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item.select(F.concat("l_returnflag", "l_linestatus").alias("series"), F.col("l_tax").alias("d"), F.col("l_suppkey").alias("image"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("bpp"), m1.alias("m1"), F.when(m1 > 0, F.col("l_quantity")).alias("m2"))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stream, raw): each conversation turn's whole text as UTF-8 bytes, streams whole in their partitions; empty ones and nulls have none."""
+    whole = table(spark, sf_dir, "conversations")
+    said = whole.filter("text is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream"), F.encode("text", "UTF-8").alias("raw"))
+    return dealt(said.filter(F.octet_length("raw") > 0), whole, "stream", size=PART_BYTES >> 2)
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stream, seq, value): each conversation turn's whole text as UTF-8 bytes, one stream a turn."""
-    said = table(spark, sf_dir, "conversations").filter("text is not null").withColumn("raw", F.encode("text", "UTF-8"))
+    """(stream, seq, value): the bytes of turns, one stream a turn."""
     at = F.explode(F.sequence(F.lit(1), F.octet_length("raw"))).alias("at")
-    rows = said.filter(F.octet_length("raw") > 0).select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream"), "raw", at)
+    rows = turns(spark, sf_dir).select("stream", "raw", at)
     byte = F.conv(F.hex(F.substring("raw", F.col("at"), F.lit(1))), 16, 10).cast("long")
     return rows.select("stream", (F.col("at") - 1).cast("long").alias("seq"), byte.alias("value"))
