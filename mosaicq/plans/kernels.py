@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -157,15 +159,27 @@ def _(spark, sf):
 _DIGEST = "count(*) AS n, CAST(sum(value * (seq + 1)) AS BIGINT) AS checksum FROM letters GROUP BY stream"
 
 
+def _texts(spark, sf, run, schema: str):
+    """run(bytes) for each turn's whole text, a tuple that goes behind its stream; texts are not taken apart before."""
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def each(batches):
+        for b in batches:
+            found = [run(raw) for raw in b["raw"].to_pylist()]
+            columns = zip(*found, strict=True) if found else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([b["stream"], *[pa.array(c, pa.float64() if "double" in part else pa.int64()) for c, part in zip(map(list, columns), schema.split(", "), strict=True)]], ["stream", *names])
+
+    return planes.turns(spark, sf).mapInArrow(each, f"stream long, {schema}")
+
+
 def _streams(spark, sf, run):
     """Per stream what a coder and its inverse give back; a stream is one turn's whole text."""
 
-    def digest(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("seq")["value"].tolist()
-        back = np.array(run(values), np.int64)
-        return pd.DataFrame({"stream": [pdf.stream.iloc[0]], "n": [len(back)], "checksum": [int((back * np.arange(1, len(back) + 1)).sum())]})
+    def digest(raw: bytes) -> tuple:
+        back = np.array(run(list(raw)), np.int64)
+        return len(back), int((back * np.arange(1, len(back) + 1)).sum())
 
-    return planes.letters(spark, sf).groupBy("stream").applyInPandas(digest, "stream long, n long, checksum long")
+    return _texts(spark, sf, digest, "n long, checksum long").groupBy("stream").agg(F.sum("n").alias("n"), F.sum("checksum").alias("checksum"))
 
 
 @query("ent05_rans_round_trip", f"WITH {LETTERS} SELECT stream, {_DIGEST}")
@@ -184,14 +198,12 @@ def _(spark, sf):
 
 @query("ent15_priced_parse")
 def _(spark, sf):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("seq")["value"].tolist()
-        n = pd.Series(values).value_counts()
-        price = {v: float(np.log2(len(values) / c)) + 0.5 for v, c in n.items()}
-        literal = sum(price[v] for v in values)
-        return pd.DataFrame({"stream": [pdf.stream.iloc[0]], "literal_bits": [round(literal, 3)], "parsed_bits": [round(k.priced_parse(values, price), 3)]})
+    def run(raw: bytes) -> tuple:
+        price = {v: float(np.log2(len(raw) / c)) + 0.5 for v, c in Counter(raw).items()}
+        literal = sum(price[v] for v in raw)
+        return round(literal, 3), round(k.priced_parse(raw, price), 3)
 
-    return planes.letters(spark, sf).groupBy("stream").applyInPandas(run, "stream long, literal_bits double, parsed_bits double")
+    return _texts(spark, sf, run, "literal_bits double, parsed_bits double")
 
 
 @query("ent08_histogram_clusters")

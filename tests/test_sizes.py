@@ -13,7 +13,7 @@ from mosaicq.plans.kernels import tree_inputs, whole_rows
 from mosaicq.sources import planes
 
 SF = "/root/testdata/sf0.001"
-DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles", "join02_two_level_lookup", "win13_box_moments", "win10_sharpen"]
+DEALT = ["join10_touching_colors", "opt13_separable_fit", "agg10_cooccurrence", "agg08_index_cost", "agg18_edge_model", "sup08_group_gather", "opt01_learned_trees", "sup16_local_trees", "opt08_rounding_trellis", "opt16_preset_fit", "win03_weighted_predictor", "win07_squeeze_inverse", "flt06_rich_tiles", "join02_two_level_lookup", "win13_box_moments", "win10_sharpen", "ent16_repetition_screen"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -79,3 +79,18 @@ def test_null_samples_count_as_nothing(spark, tmp_path, name):
     got = QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
     by = ["img", "c", "x", "y"]
     pd.testing.assert_frame_equal(got.sort_values(by, ignore_index=True).astype(float), want.sort_values(by, ignore_index=True).astype(float), atol=2e-6, rtol=0)
+
+
+@pytest.mark.parametrize("name", ["ent15_priced_parse", "ent05_rans_round_trip", "ent14_lz_round_trip"])
+def test_coders_get_whole_texts(spark, name):
+    """No row a byte, which would be sorted again into texts."""
+    assert "Generate" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chains_of_earlier_places():
+    r = np.random.default_rng(7)
+    for top in (2, 5, 300):
+        v = k._sliceable(r.integers(0, top, 200).tolist())
+        for n in (3, 4):
+            want = [max((j for j in range(i) if len(v[i : i + n]) == n and v[j : j + n] == v[i : i + n]), default=-1) for i in range(len(v))]
+            assert k._before(v, n) == want
