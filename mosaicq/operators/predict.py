@@ -65,8 +65,8 @@ def nine_column() -> Column:
     return F.col("w") + F.col("n") - F.col("nw")
 
 
-def residual_tokens(px: DataFrame, prediction: Column | None = None) -> DataFrame:
-    """(img, c, i, x, y, e, z, token, nbits): what the prediction leaves, zigzagged, as a hybrid integer."""
+def residual_tokens(px: DataFrame, prediction: Column | None = None, *keep: str) -> DataFrame:
+    """(img, c, i, x, y, keep, e, z, token, nbits): what the prediction leaves, zigzagged, as a hybrid integer."""
     e = F.col("v") - (clamped_gradient(F.col("w"), F.col("n"), F.col("nw")) if prediction is None else prediction)
-    out = neighbours(px).select("img", "c", "i", "x", "y", e.alias("e")).withColumn("z", zigzag(F.col("e")))
+    out = neighbours(px).select("img", "c", "i", "x", "y", *keep, e.alias("e")).withColumn("z", zigzag(F.col("e")))
     return out.withColumns({"token": hybrid_token(F.col("z")), "nbits": hybrid_bits(F.col("z"))})

@@ -98,12 +98,16 @@ def _(spark, sf):
 # squeeze: pairs of a row become average and residual -----------------------------------------------------------------
 
 
+def pair_average():
+    """Of a sample v and its partner b; without one, v itself."""
+    return F.when(F.col("b").isNull(), F.col("v")).otherwise(F.shiftright(F.col("v") + F.col("b") + (F.col("v") > F.col("b")).cast("int"), 1))
+
+
 def squeeze_rows(px):
     """(img, c, y, pair, avg, diff): pairs of row neighbours; a sample without partner is its own average."""
     row = W.partitionBy("img", "c", "y").orderBy("x")
     pair = px.withColumn("b", F.lead("v").over(row)).filter("x % 2 = 0").withColumn("pair", F.expr("x div 2"))
-    avg = F.when(F.col("b").isNull(), F.col("v")).otherwise(F.shiftright(F.col("v") + F.col("b") + (F.col("v") > F.col("b")).cast("int"), 1))
-    return pair.select("img", "c", "y", "pair", avg.alias("avg"), (F.col("v") - F.col("b")).alias("diff"))
+    return pair.select("img", "c", "y", "pair", pair_average().alias("avg"), (F.col("v") - F.col("b")).alias("diff"))
 
 
 @query("win07_squeeze_pairs", f"""WITH {YCC}, p AS (SELECT img, c, y, x, v, lead(v) OVER (PARTITION BY img, c, y ORDER BY x) AS b FROM ych)

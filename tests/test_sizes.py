@@ -94,3 +94,8 @@ def test_chains_of_earlier_places():
         for n in (3, 4):
             want = [max((j for j in range(i) if len(v[i : i + n]) == n and v[j : j + n] == v[i : i + n]), default=-1) for i in range(len(v))]
             assert k._before(v, n) == want
+
+
+def test_the_race_takes_samples_apart_once(spark):
+    plan = QUERIES["race04_margins"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Generate stack\(3", plan)) == 1
