@@ -99,3 +99,12 @@ def test_chains_of_earlier_places():
 def test_the_race_takes_samples_apart_once(spark):
     plan = QUERIES["race04_margins"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Generate stack\(3", plan)) == 1
+
+
+def test_paragraphs_that_meet_in_several_bands_are_held_once(spark):
+    from mosaicq.llm.paragraphs import _once
+
+    bands = {1: {7, 8}, 2: {7, 8}, 3: {7, 8, 9}, 4: {9}, 5: {-7, 8}, 6: {8, 7}}
+    rows = [(content, band) for band, contents in bands.items() for content in contents]
+    kept = {(r.band, r.content) for r in _once(spark.createDataFrame(rows, "content long, band long")).collect()}
+    assert kept == {(1, 7), (1, 8), (3, 7), (3, 8), (3, 9), (5, -7), (5, 8)}
